@@ -20,8 +20,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: 40 shards with over 100 slots each.
-SHARDS, SIZE = 40, 4099
+#: 20 shards with about 100 slots each; pass other names and a larger prime for more.
+SHARDS, SIZE = 20, 2003
 
 
 def names(n: int = SHARDS) -> list[str]:
