@@ -148,16 +148,17 @@ def _encoded(coder: Coder, words_of: list[list[str]]) -> list[pa.Array]:
     return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
 
 
-def encode(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF_CHARS, spread_chars: int = SPREAD_CHARS) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded) of each row.
+def encode(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF_CHARS, spread_chars: int = SPREAD_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) of each row, before them the columns ``keep``.
 
     ``ids``: little-endian unsigned 32-bit integers; ``decoded``: the ids decoded again.
     """
     path = path or vocabulary_path()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = f"doc_id {kind}, n_tokens long, ids binary, decoded string"
-    names = ["doc_id", "n_tokens", "ids", "decoded"]
+    own = ["doc_id", *keep]
+    kind = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in own)
+    docs = docs.select(*own, F.col("text").cast("string").alias("text"))
+    out = f"{kind}, n_tokens long, ids binary, decoded string"
+    names = [*own, "n_tokens", "ids", "decoded"]
 
     def short(batches):
         coder = coder_for(path)
@@ -173,7 +174,7 @@ def encode(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF_CHAR
                         words = concatenate(coder, t, cuts, [coder.piece(t[a:b], a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
                     words_of.append(words)
                 coder.learn({w for words in words_of for w in words})
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_encoded(coder, words_of)], names)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], *_encoded(coder, words_of)], names)
 
     done = docs.filter(F.coalesce(F.char_length("text") <= spread_chars, F.lit(True))).mapInArrow(short, out)
     if not docs.filter(F.char_length("text") > spread_chars).limit(1).count():
@@ -182,10 +183,11 @@ def encode(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF_CHAR
 
     def cut(batches):
         for batch in batches:
-            for row, doc, t in zip(batch.column("row").to_pylist(), batch.column("doc_id"), batch.column("text").to_pylist(), strict=True):
+            for i, t in enumerate(batch.column("text").to_pylist()):
                 cuts = bounds(len(t), spread_chars)
                 for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([doc.as_py()], doc.type), pa.array([n]), pa.array([a]), pa.array([t[a:b]])], ["row", "doc_id", "n", "at", "text"])
+                    one = [batch.column(c).slice(i, 1) for c in ("row", *own)]
+                    yield pa.RecordBatch.from_arrays([*one, pa.array([n]), pa.array([a]), pa.array([t[a:b]])], ["row", *own, "n", "at", "text"])
 
     def piece(batches):
         coder = coder_for(path)
@@ -203,10 +205,10 @@ def encode(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF_CHAR
         t = "".join(r["text"] for r in rows)
         words = concatenate(coder, t, [r["at"] for r in rows] + [len(t)], [(r["places"], r["words"]) for r in rows])
         coder.learn(words)
-        return pa.Table.from_arrays([table.column("doc_id").slice(0, 1), *_encoded(coder, [words])], names)
+        return pa.Table.from_arrays([*[table.column(c).slice(0, 1) for c in own], *_encoded(coder, [words])], names)
 
-    rows = long.mapInArrow(cut, f"row long, doc_id {kind}, n long, at long, text string").repartition("row", "n")
-    rows = rows.mapInArrow(piece, f"row long, doc_id {kind}, n long, at long, text string, places array<long>, words array<string>")
+    rows = long.mapInArrow(cut, f"row long, {kind}, n long, at long, text string").repartition("row", "n")
+    rows = rows.mapInArrow(piece, f"row long, {kind}, n long, at long, text string, places array<long>, words array<string>")
     return done.unionByName(rows.groupBy("row").applyInArrow(whole, out))
 
 
