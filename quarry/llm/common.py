@@ -67,6 +67,23 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES):
         yield batch.slice(start)
 
 
+#: Bucket numbers that ``may_match`` broadcasts at most, whatever the data.
+BUCKETS = 1 << 20
+
+
+def may_match(rows: DataFrame, number, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have a partner in ``wanted``, and rows that surely have none.
+
+    ``wanted`` has one column; a row's ``number`` (a Column of that type) is compared by bucket
+    number only, so the broadcast table has at most BUCKETS rows. Only the first part then needs
+    a join with an exchange.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    table = F.broadcast(wanted.select(bucket(F.col(wanted.columns[0])).alias("_bucket")).distinct())
+    rows = rows.withColumn("_bucket", bucket(number))
+    return rows.join(table, "_bucket", "left_semi").drop("_bucket"), rows.join(table, "_bucket", "left_anti").drop("_bucket")
+
+
 def lower_ascii(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

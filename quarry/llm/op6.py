@@ -5,8 +5,12 @@ A window is 50 consecutive words. Its fingerprint is winnowed: the smallest hash
 Documents come in batches of ascending id. A batch's fingerprints become a sorted immutable
 run; runs of earlier batches are merge-joined with it to find fingerprints that another
 document holds; runs are compacted into one when more than ``fan_in`` have gathered. Windows
-with a shared fingerprint are then verified by two independent 64-bit hashes of all 50 words,
-and those that start in a document with a smaller id are cut out of the later documents.
+with a shared fingerprint are then verified by two independent hashes (64 and 32 bits) of all
+50 words, and those that start in a document with a smaller id are cut out of the later
+documents. A whole text that a smaller id has too needs no windows: all of them start there.
+
+Texts are shuffled only for documents that may hold a shared fingerprint, told by a table of
+at most 2^20 bucket numbers.
 
 Defined cases: null texts have no words; rows with a null ``doc_id`` are kept whole and cut
 nothing; rows that share a ``doc_id`` are compared with smaller ids only; extra columns are
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import text as T
-from quarry.llm.common import documents, scratch, slices
+from quarry.llm.common import documents, may_match, scratch, slices
 
 WINDOW, SHINGLE, BATCHES, FAN_IN = 50, 25, 2, 4
 
@@ -101,7 +105,7 @@ def _batches(docs: DataFrame, n: int) -> list[DataFrame]:
 
 
 def _windows(docs: DataFrame, window: int, shingle: int) -> DataFrame:
-    """(h, check, doc_id) of the windows whose fingerprint is in the row's ``marks``."""
+    """(h, check int, doc_id) of the windows whose fingerprint is in the row's ``marks``."""
 
     def run(batches):
         for batch in batches:
@@ -111,9 +115,9 @@ def _windows(docs: DataFrame, window: int, shingle: int) -> DataFrame:
                 use = _chosen(w, h, part.column("marks"), window, shingle)
                 a, b = T.ngrams(h, window)[use], T.ngrams(h, window, 1)[use]
                 owner = w.text_of()[: len(use)][use]
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), part.column("doc_id").take(pa.array(owner))], ["h", "check", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column("doc_id").take(pa.array(owner))], ["h", "check", "doc_id"])
 
-    return docs.select("doc_id", "text", "marks").mapInArrow(run, "h long, check long, doc_id long")
+    return docs.select("doc_id", "text", "marks").mapInArrow(run, "h long, check int, doc_id long")
 
 
 def _chosen(w: T.Words, h: np.ndarray, marks: pa.Array, window: int, shingle: int) -> np.ndarray:
@@ -127,7 +131,10 @@ def _chosen(w: T.Words, h: np.ndarray, marks: pa.Array, window: int, shingle: in
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
-    """The result of rows (doc_id, text, hits): windows whose hash is in ``hits`` go."""
+    """The result of rows (doc_id, text, hits): windows whose hash is in ``hits`` go.
+
+    Empty ``hits`` mean that all windows go.
+    """
 
     def run(batches):
         for batch in batches:
@@ -140,7 +147,8 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
                     a, b = int(w.first[i]), int(w.first[i + 1])
                     gone = np.zeros(b - a + 1, np.int64)
                     if hits[i].is_valid and b - a >= window:
-                        at = np.flatnonzero(np.isin(g[a : b - window + 1], np.frombuffer(hits[i].as_py(), np.int64)))
+                        own = np.frombuffer(hits[i].as_py(), np.int64)
+                        at = np.flatnonzero(np.isin(g[a : b - window + 1], own)) if len(own) else np.arange(b - a - window + 1)
                         gone[at] += 1
                         gone[at + window] -= 1
                     stay = np.flatnonzero(np.cumsum(gone)[:-1] == 0) + a
@@ -163,43 +171,41 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, b
     rows, marks = stored[0], shared[0]
     for a, b in zip(stored[1:], shared[1:], strict=True):
         rows, marks = rows.unionByName(a), marks.unionByName(b)
-    lists = rows.join(marks.distinct(), "mark", "left_semi").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
-    both = scratch(_finish(docs.join(lists, "doc_id", "left"), window), "first")
-    suspects = both.filter("marks is not null").select("doc_id", "text", "marks")
-    found = scratch(_windows(suspects, window, shingle), "windows")
+    copies = scratch(_copies(docs), "copies")
+    lists = rows.join(marks.distinct(), "mark", "left_semi").join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
+    lists = scratch(lists.unionByName(copies.select("doc_id", F.array().cast("array<long>").alias("marks"))), "lists")
+    maybe, sure = may_match(docs, F.col("doc_id"), lists.select("doc_id"))
+    listed = scratch(_packed(maybe.join(lists, "doc_id", "left"), "marks"), "listed")
+    suspects = listed.filter("length(marks) > 0")
+    found = _windows(suspects, window, shingle)
     low = found.groupBy("h", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h", "check", "low")
     hits = found.join(low, ["h", "check"]).filter("low < doc_id").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
-    cut = _cut(_pack_hits(suspects.select("doc_id", "text").join(hits, "doc_id", "left")), window)
-    return both.filter("marks is null").select("doc_id", "n_words", "n_removed", F.col("text").alias("kept")).unionByName(cut)
-
+    cut = _packed(suspects.select("doc_id", "text").join(hits, "doc_id", "left"), "hits")
+    whole = sure.unionByName(listed.filter("marks is null").select("doc_id", "text")).withColumn("hits", F.lit(None).cast("binary"))
+    gone = listed.filter("length(marks) = 0").select("doc_id", "text", F.lit(b"").alias("hits"))
+    return _cut(whole.unionByName(gone).unionByName(cut), window)
 
-def _pack(batch: pa.RecordBatch, column: str) -> pa.Array:
-    return pa.array([np.asarray(x, np.int64).tobytes() if x is not None else None for x in batch.column(column).to_pylist()], pa.binary())
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc_id) of rows whose whole text a smaller id has too; ids with several rows aren't told."""
+    text = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c"), F.octet_length("text").alias("n"))
+    text = text.groupBy("doc_id").agg(F.count("*").alias("rows"), *[F.max(x).alias(x) for x in ("h", "c", "n")])
+    low = text.filter("rows = 1").groupBy("h", "c", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    return text.filter("rows = 1").join(low, ["h", "c", "n"]).filter("low < doc_id").select("doc_id")
 
-def _pack_hits(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            yield batch.set_column(2, "hits", _pack(batch, "hits"))
 
-    return docs.select("doc_id", "text", "hits").mapInArrow(run, "doc_id long, text string, hits binary")
+def _pack(batch: pa.RecordBatch, column: str) -> pa.Array:
+    return pa.array([np.asarray(x, np.int64).tobytes() if x is not None else None for x in batch.column(column).to_pylist()], pa.binary())
 
 
-def _finish(docs: DataFrame, window: int) -> DataFrame:
-    """Rows without marks are done: their words joined; the others keep text and marks."""
+def _packed(docs: DataFrame, column: str) -> DataFrame:
+    """(doc_id, text, column) with the array of longs as the bytes that numpy reads."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
-                w = T.Words(part.column("text"), T.NON_SPACE, False)
-                data, texts, marks = w.buf.tobytes(), part.column("text").to_pylist(), _pack(part, "marks")
-                for i in range(part.num_rows):
-                    if not marks[i].is_valid:
-                        a, b = int(w.first[i]), int(w.first[i + 1])
-                        texts[i] = b" ".join([data[s:e] for s, e in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True)]).decode()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts().astype(np.int64)), pa.array(np.zeros(part.num_rows, np.int64)), pa.array(texts, pa.string()), marks], ["doc_id", "n_words", "n_removed", "text", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), _pack(batch, column)], ["doc_id", "text", column])
 
-    return docs.select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string, marks binary")
+    return docs.select("doc_id", "text", column).mapInArrow(run, f"doc_id long, text string, {column} binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
