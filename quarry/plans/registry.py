@@ -1,4 +1,5 @@
 """All queries of the engine's own operators."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quarry.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
