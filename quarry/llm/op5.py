@@ -40,7 +40,7 @@ def vocabulary_path() -> str:
 class Coder:
     """Ids of words, kept for the words met so far; emptied when it holds ``most``."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 120_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -32,15 +32,20 @@ from quarry.llm import text as T
 from quarry.llm.common import documents, slices
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS, MOST_RUNS = 4000, 4000, 30_000, 40_000
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS, MOST_RUNS = 2500, 2500, 20_000, 30_000
 BITS, HEADS, LENGTH = 18, (3, 4, 5), 64
 
 
-def features(w: T.Words) -> np.ndarray:
-    """Feature numbers (token, kind): the word, its beginnings, its end."""
-    size = w.end - w.start
-    keys = [w.hashes(), *[w.range_hash(w.start, w.start + np.minimum(size, n)) for n in HEADS], w.range_hash(w.end - np.minimum(size, 3), w.end)]
-    return np.stack([(k >> np.uint64(64 - BITS)).astype(np.int64) + (i << BITS) for i, k in enumerate(keys)], axis=1)
+def features(w: T.Words, low: int = 0, high: int | None = None) -> np.ndarray:
+    """Feature numbers (token, kind) of tokens low to high: the word, its beginnings, its end."""
+    start, end = w.start[low:high], w.end[low:high]
+    size = end - start
+    out = np.empty((len(start), len(HEADS) + 2), np.int32)
+    for i, n in enumerate((None, *HEADS)):
+        key = w.range_hash(start, end if n is None else start + np.minimum(size, n))
+        out[:, i] = (key >> np.uint64(64 - BITS)).astype(np.int32) + (i << BITS)
+    out[:, -1] = (w.range_hash(end - np.minimum(size, 3), end) >> np.uint64(64 - BITS)).astype(np.int32) + (len(HEADS) + 1 << BITS)
+    return out
 
 
 def grid(first: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +99,7 @@ def _token_labels(feats: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np
     n_bad, n_good = toxic.sum(), (~toxic).sum()
     out = np.zeros(len(feats), bool)
     for kind in range(1 + len(HEADS)):
-        pairs = np.unique(owner * np.int64(1 << (BITS + 3)) + feats[:, kind])
+        pairs = np.unique(owner.astype(np.int64) * np.int64(1 << (BITS + 3)) + feats[:, kind])
         key, bad = pairs & ((1 << (BITS + 3)) - 1), toxic[pairs >> (BITS + 3)]
         a, b = (np.bincount(key[x], minlength=len(HEADS) + 2 << BITS) for x in (bad, ~bad))
         ratio = ((a + 0.5) / (n_bad + 1)) / ((b + 0.5) / (n_good + 1))
@@ -119,6 +124,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 6, seed: int = 1) -
             seen.add(mark)
             keep.append(i)
     texts, toxic = [texts[i] for i in keep], toxic[keep]
+    del w, g, ok
     if not toxic.any() or toxic.all():
         return model
     w = T.Words(pa.array(texts, pa.string()), T.ALNUM, True)
@@ -156,6 +162,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 6, seed: int = 1) -
             step = rate * g2 / np.sqrt(small)
             trans += step[:4].reshape(2, 2)
             init += step[4:]
+    del feats, label, at, real
     model |= {"weights": weights.astype(np.float32), "trans": trans, "init": init}
     x = document_features(marginals(w, model), w.first)
     use = later if later.any() else ~later
@@ -168,7 +175,7 @@ def marginals(w: T.Words, model: dict) -> np.ndarray:
     out = np.zeros(w.n)
     if not w.n:
         return out
-    e = model["weights"][features(w)].sum(axis=1, dtype=np.float64)
+    e = np.concatenate([model["weights"][features(w, at, at + (1 << 18))].sum(axis=1, dtype=np.float64) for at in range(0, w.n, 1 << 18)])
     at, real = grid(w.first)
     for s in range(0, at.shape[1], 4096):
         a, r = at[:, s : s + 4096], real[:, s : s + 4096]
