@@ -81,9 +81,11 @@ def phrase_count(words: Column, phrase: list[str]) -> Column:
     """How often a phrase stands in a token array; its last word is a prefix."""
     if len(phrase) == 1:
         return F.size(F.filter(words, lambda t: t.startswith(phrase[0])))
-    at = F.when(F.size(words) >= len(phrase), F.sequence(F.lit(0), F.size(words) - len(phrase))).otherwise(F.array().cast("array<int>"))
-    hit = lambda i: reduce(lambda a, b: a & b, [F.get(words, i + j) == p for j, p in enumerate(phrase[:-1])]) & F.get(words, i + len(phrase) - 1).startswith(phrase[-1])
-    return F.size(F.filter(at, hit))
+    # no lambda reads ``words``: where the optimizer puts the split in its place, it would be split for each element
+    rows = F.arrays_zip(*[F.slice(words, j + 1, F.size(words)).alias(f"w{j}") for j in range(len(phrase))])
+    last = len(phrase) - 1
+    hit = lambda x: reduce(lambda a, b: a & b, [x[f"w{j}"] == p for j, p in enumerate(phrase[:-1])]) & x[f"w{last}"].startswith(phrase[-1])
+    return F.coalesce(F.size(F.filter(rows, hit)), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
