@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import core as C
+from quarry.operators import access as A
 from quarry.operators import chunkers as K
 from quarry.operators import search as S
 from quarry.operators import tables as T
@@ -308,3 +309,17 @@ FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id
 def change_feed_dedup(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     return T.change_feed(rows, "user_id", F.col("event_type"), ("ts", "event_id")).select("event_id", "user_id", "event_type", "change")
+
+
+@query(f"""WITH {TREE} SELECT entity_id, name FROM entities WHERE contains(lower(name), 'tion_1') ORDER BY name, entity_id LIMIT 20""")
+def entity_name_search(spark, sf_dir):
+    return A.entities_named(_tree(spark, sf_dir)[1], "Tion_1").select("entity_id", "name")
+
+
+@query(f"""WITH RECURSIVE {FILES}, {LINES}, {WINDOWS}, hit AS (SELECT *, line_start <= 60 AND line_end >= 40 AS touched FROM chunks),
+best AS (SELECT *, bool_or(touched) OVER (PARTITION BY file_id) AS found FROM hit)
+SELECT file_id, CASE WHEN found THEN 'lines' ELSE 'chunk' END AS how, string_agg(content, chr(10) ORDER BY chunk_index) AS content FROM best WHERE CASE WHEN found THEN touched ELSE chunk_index = 0 END GROUP BY file_id, found""")
+def open_precedence(spark, sf_dir):
+    none = F.lit(None).cast("int")
+    rows = _chunks(spark, sf_dir).withColumn("page_start", none).withColumn("page_end", none)
+    return A.open_at(rows, pages=(1, 2), lines=(40, 60)).select("file_id", "how", "content")
