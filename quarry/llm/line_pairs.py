@@ -1,0 +1,99 @@
+"""Groups of edit-similar lines, for ``op10.dedup_lines(whole=True)``.
+
+Different normalised lines share buckets; lines of a bucket are verified by edit similarity.
+Lines of up to EXACT characters get a bucket for each text left by as many deletions as
+SIMILAR allows, so none of their pairs is lost. Longer ones get min-hashes of what edits leave
+alone (up to SHORT characters runs of four characters, from there pairs of neighbouring words) and a
+bucket for each of TRIPLES of them: a pair whose features have a Jaccard of 0.5 is found with
+odds of about 0.96, one of 0.6 with 0.99 (the measured recall is in the README). A pair's longer line
+decides its kind of features (over SHORT characters, AGREE min-hashes must be equal too); lines of 0.8 of a bound or more have those of both sides.
+
+Lines of a bucket are first held against its most frequent one; after that only those of different
+groups are compared, all with all.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quarry.llm.common import may_match, scratch
+from quarry.llm.components import components
+
+EXACT, SHORT, HASHES = 14, 40, 24
+#: Of so many min-hashes a pair of longer lines must have in common: at a Jaccard of 0.5 one in 1,000 has fewer.
+AGREE = 5
+#: Any two of them have one min-hash in common at most.
+TRIPLES = [(i, (i + a) % HASHES, (i + b) % HASHES) for a, b in ((1, 5), (2, 9)) for i in range(HASHES)]
+
+
+def _deletions(text: Column) -> Column:
+    """The text and what is left of it after one deletion."""
+    at = F.sequence(F.lit(1), F.char_length(text))
+    return F.array_distinct(F.concat(F.array(text), F.transform(at, lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.char_length(text))))))
+
+
+def exact_buckets(kinds: DataFrame) -> DataFrame:
+    """(key, norm, size) -> (bucket, key) of lines of up to EXACT characters (under five they must be equal)."""
+    once = _deletions(F.col("norm"))
+    left = F.when(F.col("size") < 10, once).otherwise(F.array_distinct(F.flatten(F.transform(once, _deletions))))
+    # (a line of 9 characters with two edits to one of 10 has lost one of its own at most)
+    return kinds.filter(F.col("size").between(4, EXACT)).select("key", F.explode(left).alias("x")).select(F.xxhash64(F.lit(0), "x").alias("bucket"), "key")
+
+
+def sketches(kinds: DataFrame) -> DataFrame:
+    """(key, norm, size) -> (key, kind, m0, m1, ...): min-hashes of lines' runs of characters (kind 1) or word pairs (2)."""
+    short = kinds.filter(F.col("size").between(int(EXACT * 0.8), SHORT)).select("key", F.lit(1).alias("kind"), F.explode(F.regexp_extract_all(F.concat(F.lit(" "), "norm", F.lit(" ")), F.lit("(?s)(?=(.{4}))"), F.lit(1))).alias("x"))
+    short = short.select("key", "kind", F.xxhash64("x").alias("x"))
+    words = F.split("norm", " ")
+    n = F.size("words")
+    pairs = F.when(n > 1, F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda x, y: F.xxhash64(x, y))).otherwise(F.array(F.xxhash64("norm")))
+    long_ = kinds.filter(F.col("size") >= int(SHORT * 0.8)).select("key", "norm", words.alias("words")).select("key", F.lit(2).alias("kind"), F.explode(pairs).alias("x"))
+    # the smallest hash after flipping bits is that of the feature nearest to the constant
+    least = [F.min(F.col("x").bitwiseXOR(F.xxhash64(F.lit(f"min-hash {i}")))).alias(f"m{i}") for i in range(HASHES)]
+    return short.unionByName(long_).groupBy("key", "kind").agg(*least)
+
+
+def buckets(kinds: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(bucket, key) of lines of four characters or more; ``hashed``: their ``sketches``."""
+    each = F.array(*[F.xxhash64(F.lit(i), "kind", *[f"m{j}" for j in t]) for i, t in enumerate(TRIPLES)])
+    return exact_buckets(kinds).unionByName(hashed.select(F.explode(each).alias("bucket"), "key"))
+
+
+def linked(kinds: DataFrame, similar) -> DataFrame:
+    """(key, norm, size, times) -> (node, root) of lines that have similar other ones; ``similar``: Column of the texts ta, tb."""
+    plain = kinds.select("key", "norm", "size")
+    hashed = scratch(sketches(plain), "sketches")
+    # bucket rows are many times the lines: made twice, never written, and only those that may be shared keep their key
+    rows = buckets(plain, hashed)
+    shared = scratch(rows.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1"), "shared")
+    maybe, _ = may_match(rows, F.col("bucket"), shared.select("bucket"))
+    own = scratch(maybe.join(shared, "bucket").join(kinds.select("key", "size", "times"), "key"), "own")
+    tops = own.groupBy("bucket").agg(F.max_by(F.struct("key", "size"), F.struct("times", "key")).alias("top"))
+    own = scratch(own.drop("times").join(tops, "bucket"), "topped")
+    gap = lambda m, n: F.abs(m - n) <= F.floor(F.greatest(m, n) * 0.2 + 1e-9)
+    ordered = lambda x, y, m, n: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.greatest(m, n).alias("most"))
+
+    def verified(ends: DataFrame) -> DataFrame:
+        a, b = (kinds.select(F.col("key").alias(x), F.col("norm").alias(f"t{x}")) for x in "ab")
+        ends = ends.distinct()
+        sa, sb = (hashed.filter("kind = 2").select(F.col("key").alias(x), *[F.col(f"m{i}").alias(f"{x}{i}") for i in range(HASHES)]) for x in "ab")
+        agree = sum((F.col(f"a{i}") == F.col(f"b{i}")).cast("int") for i in range(HASHES))
+        near = ends.filter(F.col("most") > SHORT).join(sa, "a").join(sb, "b").filter(agree >= AGREE).select("a", "b")
+        return near.unionByName(ends.filter(F.col("most") <= SHORT).select("a", "b")).join(a, "a").join(b, "b").filter(similar).select("a", "b")
+
+    tops = own.filter((F.col("key") != F.col("top.key")) & gap(F.col("size"), F.col("top.size"))).select(*ordered(F.col("key"), F.col("top.key"), F.col("size"), F.col("top.size")))
+    links = scratch(verified(tops), "links")
+    roots = components(links)
+    rest = own.filter("held > 2").filter(F.col("key") != F.col("top.key")).select("bucket", "key", "size")
+    rest = rest.join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root"))
+    rest = scratch(rest, "rest")
+    open_ = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    rest = scratch(rest.join(open_, "bucket"), "open")
+    # of a bucket's groups only lines of different ones meet
+    some = rest.select("bucket", "root").distinct()
+    both = some.withColumnRenamed("root", "ra").join(some.withColumnRenamed("root", "rb"), "bucket").filter("ra < rb")
+    a, b = (rest.select("bucket", F.col("root").alias(f"r{x}"), F.col("key").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
+    pairs = both.join(a, ["bucket", "ra"]).join(b, ["bucket", "rb"]).filter(gap(F.col("na"), F.col("nb"))).select(*ordered(F.col("a"), F.col("b"), F.col("na"), F.col("nb")))
+    more = scratch(verified(pairs), "more")
+    return components(links.unionByName(more)) if more.limit(1).count() else roots

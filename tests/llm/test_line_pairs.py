@@ -1,0 +1,41 @@
+import random
+
+from quarry.llm import op10
+from tests.llm.test_op10 import edit
+
+
+def test_brute_force_on_edit_similarity(spark):
+    """Against all pairs, by edit similarity alone: words changed in lines of up to 400 characters, letters in short ones."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnoprstuvwz") for _ in range(rnd.randrange(2, 9)))
+    kinds = set()
+    for i in range(24):
+        line = [word() for _ in range(rnd.randrange(8, 50))]
+        kinds.add(" ".join(line)[:400].strip())
+        for _ in range(2):
+            own = list(line)
+            own[rnd.randrange(len(own))] = word()
+            kinds.add(" ".join(own)[:400].strip())
+    for n in range(4, 15):
+        line = "".join(rnd.choice("abcdxyz") for _ in range(n))
+        at = rnd.randrange(n)
+        kinds |= {line, line[:at] + line[at + 1 :], line[:at] + "q" + line[at + 1 :], line + "qq", "q" + line[1:-1] + "q"}
+    kinds = sorted(kinds)
+    root = {k: k for k in kinds}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(kinds):
+        for b in kinds[:i]:
+            most = max(len(a), len(b))
+            allowed = int(most * 0.2 + 1e-9)
+            if most - min(len(a), len(b)) <= allowed and edit(a, b) <= allowed:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    d = spark.createDataFrame([(i, k) for i, k in enumerate(kinds)], "doc_id long, text string")
+    kept = sorted(r.text for r in op10.dedup_lines(d, whole=True).collect() if not r.n_removed)
+    assert kept == sorted({find(k) for k in kinds})
+    assert sum(r.n_removed for r in op10.dedup_lines(d).collect()) < len(kinds) - len(kept)
