@@ -39,3 +39,15 @@ def test_brute_force_on_edit_similarity(spark):
     kept = sorted(r.text for r in op10.dedup_lines(d, whole=True).collect() if not r.n_removed)
     assert kept == sorted({find(k) for k in kinds})
     assert sum(r.n_removed for r in op10.dedup_lines(d).collect()) < len(kinds) - len(kept)
+
+
+def test_long_lines_by_edit_distance(spark):
+    """Two scattered words of 60 changed leave 46 of 66 five-word shingles, but an edit similarity of over 0.9."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randrange(6, 10))) for _ in range(61)]
+    own = words[:60]
+    changed = [*own[:20], "zzzzzzz", *own[21:40], "yyyyy", *own[41:], "end"]
+    other = rnd.sample(words, 60)
+    d = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(changed)), (3, " ".join(other))], "doc_id long, text string")
+    assert len(" ".join(own)) > op10.LONG_LINE
+    assert [r.n_removed for r in op10.dedup_lines(d, whole=True).orderBy("doc_id").collect()] == [0, 1, 0]
