@@ -6,6 +6,7 @@ tables broadcast are those: a row for the whole corpus or one for each word of t
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,11 +98,16 @@ def nearest(vectors: DataFrame, query: list[float] | Column, k: int = 10, model:
     return rows.select("id", F.round(C.cosine(F.col("vector"), vector), 6).alias("similarity")).orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, id, similarity, rank) for a table of at most a few thousand queries."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", F.round(C.cosine(F.col("vector"), F.col("query_vector")), 6).alias("similarity"))
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
+    """(query_id, id, similarity, rank); queries are broadcast in blocks of about ``block``, dealt by their id."""
+    blocks = math.ceil(queries.count() / block) or 1
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def best(some: DataFrame) -> DataFrame:
+        pairs = vectors.crossJoin(F.broadcast(some)).select("query_id", "id", F.round(C.cosine(F.col("vector"), F.col("query_vector")), 6).alias("similarity"))
+        return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, [best(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries) for i in range(blocks)])
 
 
 def ranked(hits: DataFrame, channel: str) -> DataFrame:

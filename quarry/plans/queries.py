@@ -122,6 +122,13 @@ def knn_batch(spark, sf_dir):
     return S.nearest_batch(rows, rows.filter("id < 20").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")))
 
 
+@query(f"""SELECT * FROM (SELECT q.id AS query_id, d.id, round(list_cosine_similarity(d.v, q.v), 6) AS similarity, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(d.v, q.v), 6) DESC, d.id) AS rank
+FROM {VECTORS} d, {VECTORS} q WHERE q.id % 50 = 0) WHERE rank <= 5""")
+def knn_batch_due(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return S.nearest_batch(rows, rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")))
+
+
 MARKDOWN = """
 marked AS (SELECT file_id, pos, CASE pos % 5 WHEN 1 THEN '# ' || line WHEN 3 THEN '## ' || line ELSE line END AS line FROM lines),
 headed AS (SELECT file_id, pos, line, starts_with(trim(line), '#') AS head FROM marked)"""
