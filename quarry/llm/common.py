@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -17,26 +18,51 @@ STEP_BYTES = 1 << 21
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Where ``spark.checkpoint.dir`` is unset (tests on one machine) a fresh temporary
-    folder is set, once a session.
+    A session of one machine that names none gets a temporary folder; on a cluster that is an
+    error, as executors don't see each other's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Spark setting: a finished query's shuffle files go at once.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def scratch(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends there.
+
+    Its shuffle files are removed once it is written, itself when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    fs, at = _fs(spark, path)
+    fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def drop(*written: DataFrame) -> None:
+    """Delete what ``scratch`` wrote, once nothing reads it any more."""
+    for df in written:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            fs, at = _fs(df.sparkSession, path)
+            fs.delete(at, True)
 
 
 def groups_for(total: int, each: int) -> int:
@@ -80,8 +106,14 @@ def may_match(rows: DataFrame, number, wanted: DataFrame) -> tuple[DataFrame, Da
     """
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
     table = F.broadcast(wanted.select(bucket(F.col(wanted.columns[0])).alias("_bucket")).distinct())
-    rows = rows.withColumn("_bucket", bucket(number))
-    return rows.join(table, "_bucket", "left_semi").drop("_bucket"), rows.join(table, "_bucket", "left_anti").drop("_bucket")
+    whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), bucket(number).alias("_bucket"))
+    part = lambda how: whole.join(table, "_bucket", how).select("row.*")
+    return part("left_semi"), part("left_anti")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """One column ``row`` with all of them, so that no working column has the name of one; ``select("row.*")`` undoes it."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
 
 
 def lower_ascii(column):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import scratch
+from quarry.llm.common import drop, scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) links of any orderable type -> (node, root), root the smallest node reachable.
 
     Nodes without a link don't appear. Null ends and self-links are ignored; an empty table
-    gives an empty one. Stops when a round changes nothing.
+    gives an empty one. Stops when a round changes nothing; raises if that takes over ``rounds``
+    (their number grows with the logarithm of the longest path).
     """
     now = scratch(edges.select("a", "b").filter("a is not null and b is not null and a <> b").distinct(), "edges")
     seen = None
@@ -41,6 +42,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
+        drop(now)
         seen, now = mark, after
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
