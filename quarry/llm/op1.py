@@ -54,7 +54,7 @@ def table_frame(spark: SparkSession, shards: list[str], size: int = SIZE) -> Dat
     """(slot, shard): the lookup table as ``size`` rows, made from one literal."""
     text = F.lit(json.dumps(lookup_table(shards, size)))
     one = spark.range(1).select(F.posexplode(F.from_json(text, "array<int>")).alias("slot", "number"))
-    return one.select("slot", F.element_at(F.split(F.lit(",".join(shards)), ","), F.col("number") + 1).alias("shard"))
+    return one.select("slot", F.element_at(F.from_json(F.lit(json.dumps(shards)), "array<string>"), F.col("number") + 1).alias("shard"))
 
 
 def slot_of(key, size: int = SIZE):

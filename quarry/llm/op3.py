@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import text as T
-from quarry.llm.common import documents, scratch, slices
+from quarry.llm.common import documents, packed, scratch, slices
 
 WINDOW, SHINGLE, MOST = 13, 5, 400_000
 
@@ -178,8 +178,9 @@ def is_contaminated(n_words="n_words", n_hit="n_hit"):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with their own columns."""
-    bad = contamination(docs, benchmark).filter(is_contaminated()).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
+    bad = contamination(docs.select("doc_id", "text"), benchmark).filter(is_contaminated()).select("doc_id", "mark").distinct()
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("mark"))
+    return packed(docs).join(bad, same, "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

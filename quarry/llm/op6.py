@@ -2,32 +2,43 @@
 
 A window is 50 consecutive words. Its fingerprint is winnowed: the smallest hash among its
 25-word shingles, so equal windows have equal fingerprints and about one place in 13 is stored.
-Documents come in batches of ascending id. A batch's fingerprints become a sorted immutable
-run; runs of earlier batches are merge-joined with it to find fingerprints that another
-document holds; runs are compacted into one when more than ``fan_in`` have gathered. Windows
-with a shared fingerprint are then verified by two independent hashes (64 and 32 bits) of all
-50 words, and those that start in a document with a smaller id are cut out of the later
-documents. A whole text that a smaller id has too needs no windows: all of them start there.
+Documents come in batches of ascending id. An ``Index`` holds sorted immutable runs of earlier
+batches' fingerprints with the documents that hold them, each a table bucketed and sorted by
+fingerprint, so a run is never shuffled again. A batch's fingerprints are merge-joined
+with every run; documents of either side with a shared one are read, and of their windows with a
+shared fingerprint the words themselves are compared (by a 128-bit cryptographic digest of all 50).
+Windows that start in a document with a smaller id are cut out. What a batch adds
+to the index is its own run: fingerprints of windows that no smaller id has. When more than
+``fan_in`` runs have gathered they are compacted into one. A whole text that a smaller id has (by SHA-256)
+needs no windows: all of them start there.
+
+An index of a named folder is opened again by ``Index(spark, path)``. The texts it needs to compare
+words are stored with it, or given as a table (``texts``) that still holds all earlier batches.
 
 Texts are shuffled only for documents that may hold a shared fingerprint, told by a table of
 at most 2^20 bucket numbers.
 
 Defined cases: null texts have no words; rows with a null ``doc_id`` are kept whole and cut
 nothing; rows that share a ``doc_id`` are compared with smaller ids only; extra columns are
-ignored; an empty table gives an empty result.
+ignored; an empty table gives an empty result; a batch with ids not above those of the index is an error.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import text as T
-from quarry.llm.common import documents, may_match, scratch, slices
+from quarry.llm.common import _fs, documents, drop, may_match, scratch, shared_dir, slices
 
-WINDOW, SHINGLE, BATCHES, FAN_IN = 50, 25, 2, 4
+WINDOW, SHINGLE, BATCHES, FAN_IN, BUCKETS = 50, 25, 4, 2, 64
 
 
 def _window_marks(h: np.ndarray, first: np.ndarray, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +56,7 @@ def _window_marks(h: np.ndarray, first: np.ndarray, window: int, shingle: int) -
 
 
 def fingerprints(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(mark, doc_id): each document's winnowed fingerprints, once each."""
+    """(mark, doc_id): each document's winnowed fingerprints, once a stretch of windows."""
 
     def run(batches):
         for batch in batches:
@@ -59,35 +70,77 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
                 low, owner = low[new], owner[new]
                 yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), part.column("doc_id").take(pa.array(owner))], ["mark", "doc_id"])
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "mark long, doc_id long")
-
-
-class Runs:
-    """Sorted immutable runs (mark, least id) of what came before."""
-
-    def __init__(self, fan_in: int = FAN_IN):
-        self.runs: list[DataFrame] = []
-        self.fan_in = fan_in
-
-    def add(self, rows: DataFrame) -> DataFrame:
-        """Merge-join a batch (mark, doc_id) with the runs; its own run joins them.
-
-        Returns the marks that two ids hold. Ids must not be smaller than the runs' ids.
-        """
-        run = scratch(rows.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).sortWithinPartitions("mark"), "run")
-        shared = run.filter("low < high").select("mark")
-        for old in self.runs:
-            shared = shared.unionByName(run.hint("merge").join(old.select("mark"), "mark", "left_semi").select("mark"))
-        self.runs.append(run)
-        if len(self.runs) > self.fan_in:
+    return docs.select("doc_id", "text").mapInArrow(run, "mark long, doc_id long")
+
+
+class Index:
+    """Runs (mark, doc_id) and whole texts (sha, doc_id) of earlier batches, in a folder."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = FAN_IN, buckets: int = BUCKETS, texts: DataFrame | None = None):
+        self.spark, self.fan_in, self.buckets, self.texts = spark, fan_in, buckets, texts
+        self.path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        self.state = {"runs": [], "shas": [], "texts": [], "top": None, "buckets": buckets, "compactions": 0}
+        fs, at = _fs(spark, f"{self.path}/state.json")
+        if path is None:
+            fs.deleteOnExit(at.getParent())
+        elif fs.exists(at):
+            self.state = json.loads("".join(r.value for r in spark.read.text(f"{self.path}/state.json").collect()))
+            self.buckets = self.state["buckets"]
+
+    def _save(self) -> None:
+        """The state names what is valid; folders it doesn't name are of a batch that failed."""
+        fs, at = _fs(self.spark, f"{self.path}/state.json")
+        out = fs.create(at, True)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+
+    def _run(self, name: str) -> DataFrame:
+        table = f"quarry_{name.replace('-', '_')}"
+        if not self.spark.catalog.tableExists(table):
+            self.spark.sql(f"CREATE TABLE {table} (mark BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (mark) SORTED BY (mark) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(table)
+
+    def _write_run(self, rows: DataFrame) -> str:
+        name = f"run-{uuid.uuid4().hex}"
+        rows.repartition(self.buckets, "mark").write.bucketBy(self.buckets, "mark").sortBy("mark").option("path", f"{self.path}/{name}").saveAsTable(f"quarry_{name.replace('-', '_')}")
+        return name
+
+    def _forget(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS quarry_{name.replace('-', '_')}")
+        fs, at = _fs(self.spark, f"{self.path}/{name}")
+        fs.delete(at, True)
+
+    def known(self, marks: DataFrame) -> DataFrame | None:
+        """(mark, doc_id) of earlier documents that hold one of the (mark)s, by a merge join with each run."""
+        found = [self._run(r).hint("merge").join(marks, "mark", "left_semi") for r in self.state["runs"]]
+        return reduce(DataFrame.unionByName, found) if found else None
+
+    def shas(self) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.path}/{x}" for x in self.state["shas"]]) if self.state["shas"] else None
+
+    def stored(self) -> DataFrame:
+        """(doc_id, text) of earlier batches."""
+        return self.texts if self.texts is not None else self.spark.read.parquet(*[f"{self.path}/{x}" for x in self.state["texts"]])
+
+    def add(self, rows: DataFrame, shas: DataFrame, texts: DataFrame, top: int) -> None:
+        state = dict(self.state, runs=[*self.state["runs"], self._write_run(rows)], top=top)
+        for kind, df in (("shas", shas), ("texts", texts if self.texts is None else None)):
+            if df is not None:
+                name = f"{kind}-{uuid.uuid4().hex}"
+                df.write.parquet(f"{self.path}/{name}")
+                state[kind] = [*state[kind], name]
+        self.state = state
+        if len(self.state["runs"]) > self.fan_in:
             self.compact()
-        return shared
+        self._save()
 
     def compact(self) -> None:
-        both = self.runs[0]
-        for run in self.runs[1:]:
-            both = both.unionByName(run)
-        self.runs = [scratch(both.groupBy("mark").agg(F.min("low").alias("low"), F.max("high").alias("high")).sortWithinPartitions("mark"), "run")]
+        """All runs into one."""
+        old = self.state["runs"]
+        self.state = dict(self.state, runs=[self._write_run(reduce(DataFrame.unionByName, [self._run(r) for r in old]))], compactions=self.state["compactions"] + 1)
+        self._save()
+        for name in old:
+            self._forget(name)
 
 
 def _batches(docs: DataFrame, n: int) -> list[DataFrame]:
@@ -100,24 +153,31 @@ def _batches(docs: DataFrame, n: int) -> list[DataFrame]:
     out = []
     for low, high in zip(ends[:-1], ends[1:], strict=True):
         part = docs if low is None else docs.filter(F.col("doc_id") > low)
-        out.append(part if high is None else part.filter(F.col("doc_id") <= high))
+        # rows without an id belong to the first batch
+        out.append(part if high is None else part.filter((F.col("doc_id") <= high) | (F.lit(low is None) & F.col("doc_id").isNull())))
     return out
 
 
 def _windows(docs: DataFrame, window: int, shingle: int) -> DataFrame:
-    """(h, check int, doc_id) of the windows whose fingerprint is in the row's ``marks``."""
+    """(h, check, doc_id, mark, at) of the windows whose fingerprint is in the row's ``marks``: a digest of the words, and the first word's place."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 w = T.Words(part.column("text"), T.NON_SPACE, False)
-                h = w.hashes()
-                use = _chosen(w, h, part.column("marks"), window, shingle)
-                a, b = T.ngrams(h, window)[use], T.ngrams(h, window, 1)[use]
-                owner = w.text_of()[: len(use)][use]
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column("doc_id").take(pa.array(owner))], ["h", "check", "doc_id"])
+                at = np.flatnonzero(_chosen(w, w.hashes(), part.column("marks"), window, shingle))
+                data, to = w.spaced()
+                owner = w.text_of()[at]
+                blake = hashlib.blake2b
+                digest = b"".join([blake(data[a:b], digest_size=16).digest() for a, b in zip(to[at].tolist(), to[at + window].tolist(), strict=True)])
+                pairs = np.frombuffer(digest, np.int64).reshape(-1, 2)
+                own = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), part.column("doc_id").take(own), part.column("own").take(own), pa.array((at - w.first[owner]).astype(np.int32))],
+                    ["h", "check", "doc_id", "own", "at"],
+                )
 
-    return docs.select("doc_id", "text", "marks").mapInArrow(run, "h long, check int, doc_id long")
+    return docs.select("doc_id", "own", "text", "marks").mapInArrow(run, "h long, check long, doc_id long, own long, at int")
 
 
 def _chosen(w: T.Words, h: np.ndarray, marks: pa.Array, window: int, shingle: int) -> np.ndarray:
@@ -126,86 +186,103 @@ def _chosen(w: T.Words, h: np.ndarray, marks: pa.Array, window: int, shingle: in
     for i in range(len(marks)):
         a, b = int(w.first[i]), min(int(w.first[i + 1]), len(low))
         if b > a and marks[i].is_valid:
-            use[a:b] = np.isin(low[a:b], np.frombuffer(marks[i].as_py(), np.uint64))
+            use[a:b] = np.isin(low[a:b], np.asarray(marks[i].values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
     return use & ok
 
 
-def _cut(docs: DataFrame, window: int) -> DataFrame:
-    """The result of rows (doc_id, text, hits): windows whose hash is in ``hits`` go.
+def _cut(docs: DataFrame, window: int, shingle: int) -> DataFrame:
+    """The result of rows (doc_id, text, hits): the windows at the places ``hits`` go, of null none.
 
-    Empty ``hits`` mean that all windows go.
+    Of a ``copy`` all go. ``marks``: fingerprints of the windows that stay (a copy has none).
     """
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 w = T.Words(part.column("text"), T.NON_SPACE, False)
-                hits, n_removed, kept = part.column("hits"), [], []
-                g = T.ngrams(w.hashes(), window).view(np.int64) if any(x.is_valid for x in hits) else np.zeros(0, np.int64)
-                data = w.buf.tobytes()
+                hits, copies, n_removed, kept, marks = part.column("hits"), part.column("copy").to_pylist(), [], [], []
+                low, ok = _window_marks(w.hashes(), w.first, window, shingle)
+                data, to = w.spaced()
                 for i in range(part.num_rows):
                     a, b = int(w.first[i]), int(w.first[i + 1])
-                    gone = np.zeros(b - a + 1, np.int64)
-                    if hits[i].is_valid and b - a >= window:
-                        own = np.frombuffer(hits[i].as_py(), np.int64)
-                        at = np.flatnonzero(np.isin(g[a : b - window + 1], own)) if len(own) else np.arange(b - a - window + 1)
-                        gone[at] += 1
-                        gone[at + window] -= 1
-                    stay = np.flatnonzero(np.cumsum(gone)[:-1] == 0) + a
-                    kept.append(b" ".join([data[s:e] for s, e in zip(w.start[stay].tolist(), w.end[stay].tolist(), strict=True)]).decode())
-                    n_removed.append(b - a - len(stay))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts().astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
-
-
-def cut_repeats(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, batches: int = BATCHES, index: Runs | None = None) -> DataFrame:
-    """(doc_id long, n_words, n_removed, kept) of each row; ``kept``: words joined by one space."""
-    index = index or Runs()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stored, shared = [], []
-    for part in _batches(docs, batches):
-        rows = scratch(fingerprints(part, window, shingle), "marks")
-        stored.append(rows)
-        shared.append(index.add(rows))
-    rows, marks = stored[0], shared[0]
-    for a, b in zip(stored[1:], shared[1:], strict=True):
-        rows, marks = rows.unionByName(a), marks.unionByName(b)
-    copies = scratch(_copies(docs), "copies")
-    lists = rows.join(marks.distinct(), "mark", "left_semi").join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
-    lists = scratch(lists.unionByName(copies.select("doc_id", F.array().cast("array<long>").alias("marks"))), "lists")
-    maybe, sure = may_match(docs, F.col("doc_id"), lists.select("doc_id"))
-    listed = scratch(_packed(maybe.join(lists, "doc_id", "left"), "marks"), "listed")
-    suspects = listed.filter("length(marks) > 0")
-    found = _windows(suspects, window, shingle)
+                    n = max(0, b - a - window + 1)
+                    gone = np.zeros(n, bool)
+                    if copies[i]:
+                        gone[:] = True
+                    elif hits[i].is_valid:
+                        gone[np.asarray(hits[i].values.to_numpy(zero_copy_only=False), np.int64)] = True
+                    marks.append(np.unique(low[a : a + n][~gone & ok[a : a + n]]).view(np.int64) if n else np.zeros(0, np.int64))
+                    if gone.any():
+                        at = np.flatnonzero(gone)
+                        cover = np.zeros(b - a + 1, np.int64)
+                        cover[at] += 1
+                        cover[at + window] -= 1
+                        stay = np.flatnonzero(np.cumsum(cover)[:-1] == 0) + a
+                        kept.append(b" ".join([data[s : e - 1] for s, e in zip(to[stay].tolist(), to[stay + 1].tolist(), strict=True)]).decode())
+                        n_removed.append(b - a - len(stay))
+                    else:
+                        kept.append(data[to[a] : max(int(to[a]), int(to[b]) - 1)].decode())
+                        n_removed.append(0)
+                sizes = np.cumsum([0, *map(len, marks)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts().astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), lists], ["doc_id", "n_words", "n_removed", "kept", "marks"])
+
+    return docs.select("doc_id", "text", "hits", "copy").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, marks array<long>")
+
+
+def _one_batch(docs: DataFrame, index: Index, window: int, shingle: int) -> DataFrame:
+    """The written result of one batch (doc_id, text), which the index then holds."""
+    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    if ends["low"] is not None and index.state["top"] is not None and ends["low"] <= index.state["top"]:
+        raise ValueError("a batch's ids must be above those of the index")
+    whole = scratch(docs.filter("doc_id is not null and text is not null").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "shas")
+    least = whole
+    if index.shas() is not None:
+        old = index.shas().groupBy("sha").agg(F.min("doc_id").alias("old"))
+        least = whole.join(old, "sha", "left").select("sha", F.coalesce("old", "low").alias("low"), "high")
+    repeated = scratch(least.filter("low < high"), "repeated")
+    row = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
+    maybe, sure = may_match(row, F.sha2("text", 256), repeated.select("sha"))
+    told = maybe.join(repeated.select("sha", "low"), F.sha2("text", 256) == F.col("sha"), "left").withColumn("copy", F.coalesce(F.col("low") < F.col("doc_id"), F.lit(False))).drop("sha", "low", "high")
+    told = scratch(told.unionByName(sure.withColumn("copy", F.lit(False))), "told")
+    use = told.filter("not copy and doc_id is not null")
+    marks = scratch(fingerprints(use, window, shingle), "marks")
+    by_mark = scratch(marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "by-mark")
+    shared = by_mark.filter("low < high").select("mark")
+    listed = []
+    old = index.known(by_mark.select("mark"))
+    if old is not None:
+        old = scratch(old, "known")
+        shared = shared.unionByName(old.select("mark")).distinct()
+        lists = scratch(old.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "old-lists")
+        texts, _ = may_match(index.stored().select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), F.col("doc_id"), lists.select("doc_id"))
+        listed.append(texts.join(lists, "doc_id").select("doc_id", F.lit(None).cast("long").alias("own"), "text", "marks"))
+    lists = scratch(marks.join(shared, "mark", "left_semi").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "lists")
+    maybe, _ = may_match(use, F.col("doc_id"), lists.select("doc_id"))
+    listed.append(maybe.join(lists, "doc_id").select("doc_id", "own", "text", "marks"))
+    found = scratch(_windows(reduce(DataFrame.unionByName, listed), window, shingle), "windows")
     low = found.groupBy("h", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h", "check", "low")
-    hits = found.join(low, ["h", "check"]).filter("low < doc_id").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
-    cut = _packed(suspects.select("doc_id", "text").join(hits, "doc_id", "left"), "hits")
-    whole = sure.unionByName(listed.filter("marks is null").select("doc_id", "text")).withColumn("hits", F.lit(None).cast("binary"))
-    gone = listed.filter("length(marks) = 0").select("doc_id", "text", F.lit(b"").alias("hits"))
-    return _cut(whole.unionByName(gone).unionByName(cut), window)
-
-
-def _copies(docs: DataFrame) -> DataFrame:
-    """(doc_id) of rows whose whole text a smaller id has too; ids with several rows aren't told."""
-    text = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c"), F.octet_length("text").alias("n"))
-    text = text.groupBy("doc_id").agg(F.count("*").alias("rows"), *[F.max(x).alias(x) for x in ("h", "c", "n")])
-    low = text.filter("rows = 1").groupBy("h", "c", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    return text.filter("rows = 1").join(low, ["h", "c", "n"]).filter("low < doc_id").select("doc_id")
-
-
-def _pack(batch: pa.RecordBatch, column: str) -> pa.Array:
-    return pa.array([np.asarray(x, np.int64).tobytes() if x is not None else None for x in batch.column(column).to_pylist()], pa.binary())
-
-
-def _packed(docs: DataFrame, column: str) -> DataFrame:
-    """(doc_id, text, column) with the array of longs as the bytes that numpy reads."""
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), _pack(batch, column)], ["doc_id", "text", column])
-
-    return docs.select("doc_id", "text", column).mapInArrow(run, f"doc_id long, text string, {column} binary")
+    hits = found.filter("own is not null").join(low, ["h", "check"]).filter("low < doc_id").groupBy("doc_id", "own").agg(F.collect_list("at").alias("hits"))
+    hits = scratch(hits, "hits")
+    drop(found, marks)
+    maybe, sure = may_match(told, F.col("doc_id"), hits.select("doc_id"))
+    both = maybe.join(hits, ["doc_id", "own"], "left").unionByName(sure.withColumn("hits", F.lit(None).cast("array<int>")))
+    done = scratch(_cut(both, window, shingle), "cut")
+    drop(told)
+    own = done.filter("doc_id is not null").select(F.explode("marks").alias("mark"), "doc_id")
+    if ends["high"] is not None:
+        index.add(own, whole.select("sha", F.col("low").alias("doc_id")), docs.filter("doc_id is not null"), ends["high"])
+    return done.drop("marks")
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, batches: int = BATCHES, index: Index | None = None) -> DataFrame:
+    """(doc_id long, n_words, n_removed, kept) of each row; ``kept``: words joined by one space.
+
+    ``index``: what earlier calls left; by default one that lives as long as the session.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    index = index or Index(docs.sparkSession, texts=docs)
+    return reduce(DataFrame.unionByName, [_one_batch(part, index, window, shingle) for part in _batches(docs, batches)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import text as T
-from quarry.llm.common import documents, scratch, slices
+from quarry.llm.common import documents, packed, scratch, slices
 from quarry.llm.components import components
 
 SEGMENT_BITS = 32
@@ -45,36 +45,28 @@ def _bits_over_half(h: np.ndarray, first: np.ndarray, most: int = 1 << 16) -> np
 def _simhash(column: pa.Array, shingle: int, seed: int) -> np.ndarray:
     w = T.Words(column, T.NON_SPACE, lower=True)
     counts = w.counts()
-    # the words again, each followed by one space, so that a shingle is one byte range
-    size = w.end - w.start
-    to = np.concatenate([[0], np.cumsum(size + 1)])
-    flat = np.full(int(to[-1]), 0x20, np.uint8)
-    inner = np.ones(len(flat), bool)
-    inner[to[1:] - 1] = False
-    edge = np.zeros(len(w.buf) + 1, np.int8)
-    edge[w.start] += 1
-    np.add.at(edge, w.end, -1)
-    flat[inner] = w.buf[np.cumsum(edge[:-1]).astype(bool)]
+    data, to = w.spaced()
     per_text = np.where(counts == 0, 0, np.maximum(counts - shingle + 1, 1))
     first = np.concatenate([[0], np.cumsum(per_text)])
     number = np.arange(int(first[-1])) - np.repeat(first[:-1], per_text) + np.repeat(w.first[:-1], per_text)
     last = np.minimum(number + shingle, np.repeat(w.first[1:], per_text))
-    data, digest = flat.tobytes(), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(data[a:b], seed) for a, b in zip(to[number].tolist(), (to[last] - 1).tolist(), strict=True)), np.uint64, len(number))
     return _bits_over_half(h, first)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long): the SimHash of each row's text."""
+    """(doc_id, mark, fp long): the SimHash of each row's text; ``mark``: xxhash64 of the text."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 fp = _simhash(part.column("text"), shingle, seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(fp)], ["doc_id", "mark", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, mark long, fp long")
 
 
 def _segments() -> list[tuple[int, int]]:
@@ -120,28 +112,39 @@ def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return out.distinct()
 
 
+def _rooted(each: DataFrame, heavy: int) -> DataFrame:
+    """(fp, ...) of different fingerprints -> the same with ``root``, that of their group."""
+    roots = components(links(each.select("fp"), heavy))
+    return each.join(roots, each["fp"] == roots["node"], "left").select(*each.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, fp long, component_id): each row's fingerprint and its group's smallest id."""
     rows = scratch(fingerprints(docs), "simhash")
-    each = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(each.select("fp"), heavy))
-    of = each.join(roots, each["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    of = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), heavy)
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(of.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """The documents with one of each near-duplicate group kept: the one with the smallest id.
 
-    Rows that repeat that id stay one: the first of them by text.
+    A document is told by id and text: texts under one id that are of different groups all
+    stay, and so do different texts with a null id. Of a group's texts under its smallest id
+    the one with the smallest hash stays; of rows with its id and text one, the first by the
+    hash of all columns. Null ids come last.
     """
-    groups = near_duplicates(docs)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    twice = scratch(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
-    kept = docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    if not twice.limit(1).count():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    rows = scratch(fingerprints(docs), "simhash")
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark")
+    of = _rooted(rows.groupBy("fp").agg(F.min(place).alias("least")), heavy)
+    keep = of.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.mark")
+    times = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("times"))
+    same = F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("k.mark") == F.col("t.mark"))
+    keep = scratch(keep.alias("k").join(times.alias("t"), same).select("k.doc_id", "k.mark", "times"), "keep")
+    own = packed(docs).withColumn("own", F.xxhash64(F.col("row.text").cast("string")))
+    kept = own.join(keep, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("mark")))
+    once = kept.filter("times > 1").groupBy("doc_id", "mark").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.filter("times = 1").select("row.*").unionByName(once.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Words, word hashes and word n-gram hashes of whole batches of texts, by numpy.
 
-A hash is a polynomial in an odd multiplier modulo 2^64, so prefix sums give the hash of
-any byte or word range; a final mix spreads the bits.
+A word's hash mixes its bytes, eight at a time, into 64 bits. An n-gram's hash is a polynomial of
+its words' hashes in an odd multiplier modulo 2^64, so prefix sums give that of any range of words;
+a final mix spreads the bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _U = np.uint64
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -84,21 +86,40 @@ class Words:
         """Of each word, its text's number."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
-    def range_hash(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        """Hashes of byte ranges of ``buf``."""
-        if not len(start):
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word: eight bytes after eight are mixed in, those beyond the word masked."""
+        if not self.n:
             return np.zeros(0, _U)
-        p, inv = powers(len(self.buf), which)
+        data = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+        lane = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))  # the eight bytes from each place on
+        size = self.end - self.start
+        h = mix(size.astype(_U) + _U(_MULT[0]))
+        live, at = np.arange(self.n), 0
         with np.errstate(over="ignore"):
-            if not hasattr(self, "_sums"):
-                self._sums = {}
-            if which not in self._sums:
-                self._sums[which] = np.concatenate([[_U(0)], np.cumsum((self.buf.astype(_U) + _U(1)) * p[: len(self.buf)], dtype=_U)])
-            sums = self._sums[which]
-            return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(_U))
-
-    def hashes(self) -> np.ndarray:
-        return self.range_hash(self.start, self.end)
+            while len(live):
+                left = size[live] - at
+                keep = np.minimum(left, 8).astype(_U) * _U(8)
+                bits = lane[self.start[live] + at] & np.where(keep == 64, ~_U(0), (_U(1) << (keep & _U(63))) - _U(1))
+                h[live] = mix((h[live] ^ bits) * _U(_MULT[1]) + _U(1))
+                at += 8
+                live = live[left > 8]
+                if at >= 512:  # the few words that go on are hashed one by one
+                    for i in live.tolist():
+                        h[i] ^= _U(xxhash.xxh64_intdigest(self.buf[self.start[i] + at : self.end[i]].tobytes(), int(h[i]) & 0xFFFF))
+                    break
+        return h
+
+    def spaced(self) -> tuple[bytes, np.ndarray]:
+        """The words, each followed by one space, and where each begins (one entry more): a run of words is one byte range."""
+        to = np.concatenate([[0], np.cumsum(self.end - self.start + 1)])
+        flat = np.full(int(to[-1]), 0x20, np.uint8)
+        inner = np.ones(len(flat), bool)
+        inner[to[1:] - 1] = False
+        edge = np.zeros(len(self.buf) + 1, np.int8)
+        edge[self.start] += 1
+        np.add.at(edge, self.end, -1)
+        flat[inner] = self.buf[np.cumsum(edge[:-1]).astype(bool)]
+        return flat.tobytes(), to
 
 
 def ngrams(h: np.ndarray, k: int, which: int = 0) -> np.ndarray:

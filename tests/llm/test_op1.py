@@ -33,3 +33,8 @@ def test_place(spark, tmp_path):
     assert op1.place(d.limit(0), "doc_id").count() == 0
     op1.write_shards(d, "doc_id", f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
+
+
+def test_names_with_commas(spark):
+    d = spark.range(200).withColumnRenamed("id", "k")
+    assert {r.shard for r in op1.place(d, "k", ["a,b", 'c"d', "e"], 7).collect()} == {"a,b", 'c"d', "e"}

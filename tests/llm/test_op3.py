@@ -48,3 +48,9 @@ def test_empty(spark):
     assert op3.contamination(d.limit(0), b).count() == 0
     assert op3.clean(d, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
     assert op3.clean(d, b).columns == d.columns
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "a b", 1, 2, 3), (2, "c d", 1, 2, 3), (None, None, 1, 2, 3)], "doc_id long, text string, _id int, _mark int, mark int")
+    out = op3.clean(d, spark.createDataFrame([(1, "a b")], "item_id long, text string"))
+    assert out.columns == d.columns and sorted(str(r.doc_id) for r in out.collect()) == ["2", "None"]

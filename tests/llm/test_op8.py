@@ -68,3 +68,15 @@ def test_documents(spark):
     assert op8.near_duplicates(docs.limit(0)).count() == 0
     kept = sorted(r.doc_id for r in op8.one_of_each(docs).collect())
     assert kept == sorted({w[2] for w in want})
+
+
+def test_one_of_each_by_id_and_text(spark):
+    x, other = "a text of some words " * 5, "nothing like it at all, and some more words of another kind"
+    rows = [(7, x), (8, x.upper()), (8, other), (9, "alpha beta gamma"), (9, "delta epsilon zeta eta"), (None, "one two three four"), (None, "five six seven eight nine"), (None, x), (11, "twice the same row"), (11, "twice the same row")]
+    names = ["_keep", "row", "mark", "fp", "own", "least", "times"]
+    d = spark.createDataFrame([(i, t, *[n] * len(names)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = op8.one_of_each(d)
+    assert out.columns == d.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted({r for r in rows if r not in ((8, x.upper()), (None, x))}, key=str)
+    assert op8.one_of_each(d.limit(0)).count() == 0

@@ -29,3 +29,12 @@ def test_slice_of_a_larger_array():
     w = T.Words(a, T.NON_SPACE, False)
     assert w.counts().tolist() == [2, 0, 1] and w.hashes()[0] == w.hashes()[2]
     assert not len(T.ngrams(np.zeros(0, np.uint64), 3))
+
+
+def test_words_that_differ_have_different_hashes():
+    words = ["a" * n for n in range(1, 1200, 7)] + ["a" * n + "b" for n in range(0, 1200, 7)] + ["".join("ab"[bin(i ^ f).count("1") % 2] for i in range(2048)) for f in (0, 1)]
+    w = T.Words(pa.array([" ".join(words), " ".join(reversed(words))]), T.NON_SPACE, False)
+    h = w.hashes()
+    assert len(set(h[: len(words)].tolist())) == len(words) and (h[: len(words)] == h[len(words) :][::-1]).all()
+    data, to = w.spaced()
+    assert data == (" ".join(words) + " " + " ".join(reversed(words)) + " ").encode() and data[to[3] : to[4]].decode() == words[3] + " "
