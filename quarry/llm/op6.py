@@ -7,8 +7,8 @@ batches' fingerprints with the documents that hold them, each a table bucketed a
 fingerprint, so a run is never shuffled again. A batch's fingerprints are merge-joined
 with every run; documents of either side with a shared one are read, and of their windows with a
 shared fingerprint the words themselves are compared (by a 128-bit cryptographic digest of all 50).
-Windows that start in a document with a smaller id are cut out. What a batch adds
-to the index is its own run: fingerprints of windows that no smaller id has. When more than
+Windows that start in a document with a smaller id are cut out. A batch's fingerprints
+become its own run in the index. When more than
 ``fan_in`` runs have gathered they are compacted into one. A whole text that a smaller id has (by SHA-256)
 needs no windows: all of them start there.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from quarry.llm import text as T
 from quarry.llm.common import _fs, documents, drop, may_match, scratch, shared_dir, slices
 
-WINDOW, SHINGLE, BATCHES, FAN_IN, BUCKETS = 50, 25, 4, 2, 64
+WINDOW, SHINGLE, BATCHES, FAN_IN, BUCKETS = 50, 25, 3, 1, 64
 
 
 def _window_marks(h: np.ndarray, first: np.ndarray, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +56,7 @@ def _window_marks(h: np.ndarray, first: np.ndarray, window: int, shingle: int) -
 
 
 def fingerprints(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(mark, doc_id): each document's winnowed fingerprints, once a stretch of windows."""
+    """(mark, doc_id, own): each row's winnowed fingerprints, once a stretch of windows."""
 
     def run(batches):
         for batch in batches:
@@ -67,10 +67,10 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
                 low = low[ok]
                 new = np.ones(len(low), bool)
                 new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
-                low, owner = low[new], owner[new]
-                yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), part.column("doc_id").take(pa.array(owner))], ["mark", "doc_id"])
+                low, owner = low[new], pa.array(owner[new])
+                yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), part.column("doc_id").take(owner), part.column("own").take(owner)], ["mark", "doc_id", "own"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "mark long, doc_id long")
+    return docs.select("doc_id", "own", "text").mapInArrow(run, "mark long, doc_id long, own long")
 
 
 class Index:
@@ -190,63 +190,46 @@ def _chosen(w: T.Words, h: np.ndarray, marks: pa.Array, window: int, shingle: in
     return use & ok
 
 
-def _cut(docs: DataFrame, window: int, shingle: int) -> DataFrame:
-    """The result of rows (doc_id, text, hits): the windows at the places ``hits`` go, of null none.
-
-    Of a ``copy`` all go. ``marks``: fingerprints of the windows that stay (a copy has none).
-    """
+def _cut(docs: DataFrame, window: int) -> DataFrame:
+    """The result of rows (doc_id, text, hits): the windows at the places ``hits`` go, of null none, of an empty list (a copy) all."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 w = T.Words(part.column("text"), T.NON_SPACE, False)
-                hits, copies, n_removed, kept, marks = part.column("hits"), part.column("copy").to_pylist(), [], [], []
-                low, ok = _window_marks(w.hashes(), w.first, window, shingle)
                 data, to = w.spaced()
+                hits, n_removed, kept = part.column("hits"), [], []
                 for i in range(part.num_rows):
                     a, b = int(w.first[i]), int(w.first[i + 1])
-                    n = max(0, b - a - window + 1)
-                    gone = np.zeros(n, bool)
-                    if copies[i]:
-                        gone[:] = True
-                    elif hits[i].is_valid:
-                        gone[np.asarray(hits[i].values.to_numpy(zero_copy_only=False), np.int64)] = True
-                    marks.append(np.unique(low[a : a + n][~gone & ok[a : a + n]]).view(np.int64) if n else np.zeros(0, np.int64))
-                    if gone.any():
-                        at = np.flatnonzero(gone)
-                        cover = np.zeros(b - a + 1, np.int64)
-                        cover[at] += 1
-                        cover[at + window] -= 1
-                        stay = np.flatnonzero(np.cumsum(cover)[:-1] == 0) + a
-                        kept.append(b" ".join([data[s : e - 1] for s, e in zip(to[stay].tolist(), to[stay + 1].tolist(), strict=True)]).decode())
-                        n_removed.append(b - a - len(stay))
-                    else:
+                    if not hits[i].is_valid or b - a < window:
                         kept.append(data[to[a] : max(int(to[a]), int(to[b]) - 1)].decode())
                         n_removed.append(0)
-                sizes = np.cumsum([0, *map(len, marks)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts().astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), lists], ["doc_id", "n_words", "n_removed", "kept", "marks"])
+                        continue
+                    at = np.asarray(hits[i].values.to_numpy(zero_copy_only=False), np.int64)
+                    at = at if len(at) else np.arange(b - a - window + 1)
+                    cover = np.bincount(at, minlength=b - a + 1) - np.bincount(at + window, minlength=b - a + 1)
+                    stay = np.flatnonzero(np.cumsum(cover)[:-1] == 0) + a
+                    kept.append(b" ".join([data[s : e - 1] for s, e in zip(to[stay].tolist(), to[stay + 1].tolist(), strict=True)]).decode())
+                    n_removed.append(b - a - len(stay))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts().astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.select("doc_id", "text", "hits", "copy").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, marks array<long>")
+    return docs.select("doc_id", "text", "hits").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def _one_batch(docs: DataFrame, index: Index, window: int, shingle: int) -> DataFrame:
-    """The written result of one batch (doc_id, text), which the index then holds."""
+    """(doc_id, own, hits) of the rows of a batch (doc_id, own, text) that lose words; the index then holds the batch."""
+    docs = docs.filter("doc_id is not null and text is not null")
     ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     if ends["low"] is not None and index.state["top"] is not None and ends["low"] <= index.state["top"]:
         raise ValueError("a batch's ids must be above those of the index")
-    whole = scratch(docs.filter("doc_id is not null and text is not null").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "shas")
+    each = scratch(docs.select(F.sha2("text", 256).alias("sha"), "doc_id", "own"), "shas")
+    whole = each.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     least = whole
     if index.shas() is not None:
         old = index.shas().groupBy("sha").agg(F.min("doc_id").alias("old"))
         least = whole.join(old, "sha", "left").select("sha", F.coalesce("old", "low").alias("low"), "high")
-    repeated = scratch(least.filter("low < high"), "repeated")
-    row = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
-    maybe, sure = may_match(row, F.sha2("text", 256), repeated.select("sha"))
-    told = maybe.join(repeated.select("sha", "low"), F.sha2("text", 256) == F.col("sha"), "left").withColumn("copy", F.coalesce(F.col("low") < F.col("doc_id"), F.lit(False))).drop("sha", "low", "high")
-    told = scratch(told.unionByName(sure.withColumn("copy", F.lit(False))), "told")
-    use = told.filter("not copy and doc_id is not null")
-    marks = scratch(fingerprints(use, window, shingle), "marks")
+    copies = scratch(each.join(least.filter("low < high"), "sha").filter("low < doc_id").select("doc_id", "own").distinct(), "copies")
+    marks = scratch(fingerprints(docs, window, shingle).join(copies, ["doc_id", "own"], "left_anti").select("mark", "doc_id", "own"), "marks")
     by_mark = scratch(marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "by-mark")
     shared = by_mark.filter("low < high").select("mark")
     listed = []
@@ -257,22 +240,17 @@ def _one_batch(docs: DataFrame, index: Index, window: int, shingle: int) -> Data
         lists = scratch(old.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "old-lists")
         texts, _ = may_match(index.stored().select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), F.col("doc_id"), lists.select("doc_id"))
         listed.append(texts.join(lists, "doc_id").select("doc_id", F.lit(None).cast("long").alias("own"), "text", "marks"))
-    lists = scratch(marks.join(shared, "mark", "left_semi").groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "lists")
-    maybe, _ = may_match(use, F.col("doc_id"), lists.select("doc_id"))
-    listed.append(maybe.join(lists, "doc_id").select("doc_id", "own", "text", "marks"))
+    lists = scratch(marks.join(shared, "mark", "left_semi").groupBy("doc_id", "own").agg(F.collect_set("mark").alias("marks")), "lists")
+    maybe, _ = may_match(docs, F.col("doc_id"), lists.select("doc_id"))
+    listed.append(maybe.join(lists, ["doc_id", "own"]).select("doc_id", "own", "text", "marks"))
     found = scratch(_windows(reduce(DataFrame.unionByName, listed), window, shingle), "windows")
     low = found.groupBy("h", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h", "check", "low")
-    hits = found.filter("own is not null").join(low, ["h", "check"]).filter("low < doc_id").groupBy("doc_id", "own").agg(F.collect_list("at").alias("hits"))
-    hits = scratch(hits, "hits")
-    drop(found, marks)
-    maybe, sure = may_match(told, F.col("doc_id"), hits.select("doc_id"))
-    both = maybe.join(hits, ["doc_id", "own"], "left").unionByName(sure.withColumn("hits", F.lit(None).cast("array<int>")))
-    done = scratch(_cut(both, window, shingle), "cut")
-    drop(told)
-    own = done.filter("doc_id is not null").select(F.explode("marks").alias("mark"), "doc_id")
+    hits = found.filter("own is not null").join(low, ["h", "check"]).filter("low < doc_id").groupBy("doc_id", "own").agg(F.collect_set("at").alias("hits"))
+    hits = scratch(hits.unionByName(copies.select("doc_id", "own", F.array().cast("array<int>").alias("hits"))), "hits")
     if ends["high"] is not None:
-        index.add(own, whole.select("sha", F.col("low").alias("doc_id")), docs.filter("doc_id is not null"), ends["high"])
-    return done.drop("marks")
+        index.add(marks.select("mark", "doc_id").distinct(), whole.select("sha", F.col("low").alias("doc_id")), docs.select("doc_id", "text"), ends["high"])
+    drop(found, marks, by_mark, each, copies, lists)
+    return hits
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, batches: int = BATCHES, index: Index | None = None) -> DataFrame:
@@ -280,9 +258,13 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, b
 
     ``index``: what earlier calls left; by default one that lives as long as the session.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
     index = index or Index(docs.sparkSession, texts=docs)
-    return reduce(DataFrame.unionByName, [_one_batch(part, index, window, shingle) for part in _batches(docs, batches)])
+    hits = reduce(DataFrame.unionByName, [_one_batch(part, index, window, shingle) for part in _batches(docs, batches)])
+    maybe, sure = may_match(docs, F.col("doc_id"), hits.select("doc_id"))
+    both = maybe.join(hits, ["doc_id", "own"], "left").select("doc_id", "text", "hits")
+    return _cut(both.unionByName(sure.select("doc_id", "text", F.lit(None).cast("array<int>").alias("hits"))), window)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

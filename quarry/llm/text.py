@@ -109,6 +109,16 @@ class Words:
                     break
         return h
 
+    def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges of ``buf``, by prefix sums: for features, as texts can be made that share them."""
+        if not len(start):
+            return np.zeros(0, _U)
+        p, inv = powers(len(self.buf))
+        with np.errstate(over="ignore"):
+            if not hasattr(self, "_sums"):
+                self._sums = np.concatenate([[_U(0)], np.cumsum((self.buf.astype(_U) + _U(1)) * p[: len(self.buf)], dtype=_U)])
+            return mix((self._sums[end] - self._sums[start]) * inv[start] + (end - start).astype(_U))
+
     def spaced(self) -> tuple[bytes, np.ndarray]:
         """The words, each followed by one space, and where each begins (one entry more): a run of words is one byte range."""
         to = np.concatenate([[0], np.cumsum(self.end - self.start + 1)])
