@@ -38,9 +38,9 @@ def vocabulary_path() -> str:
 
 
 class Coder:
-    """Ids of words, kept for the words met so far; emptied when it holds ``most``."""
+    """Ids of words, kept for the words met so far; when over ``most`` are held, for those met at that time."""
 
-    def __init__(self, path: str, most: int = 120_000):
+    def __init__(self, path: str, most: int = 60_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,9 +57,10 @@ class Coder:
         self.most = most
 
     def learn(self, words) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [w for w in set(words) if w not in self.known]
+        words = set(words)
+        if len(self.known) > self.most:  # those met now stay
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        new = [w for w in words if w not in self.known]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from quarry.llm import text as T
 from quarry.llm.common import _fs, documents, drop, may_match, scratch, shared_dir, slices
 
-WINDOW, SHINGLE, BATCHES, FAN_IN, BUCKETS = 50, 25, 3, 1, 64
+WINDOW, SHINGLE, BATCHES, FAN_IN, BUCKETS = 50, 25, 2, 1, 64
 
 
 def _window_marks(h: np.ndarray, first: np.ndarray, window: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,8 +9,8 @@ not seen, the document's score. Tokens with a marginal of 0.5 or more are the of
 
 The fit uses a bounded sample of labelled rows: the ``most_toxic`` and ``most_clean`` labelled
 documents that come first by a hash of their id, of those outside the held-out fold and with at
-most ``most_chars`` characters; the field sees at most ``MOST_RUNS`` runs of tokens with and as many
-without toxic ones. Scoring covers every whole text and is one map over the rows.
+most ``most_chars`` characters; the field is fitted on at most ``MOST_RUNS`` runs of tokens with and as many
+without toxic ones, drawn at random. Marginals are those of a whole text's one chain. Scoring covers every whole text and is one map over the rows.
 
 Defined cases: null and empty texts have no tokens and get the score of no evidence; without
 labels of both kinds every score is the smoothed share of toxic labels; labels of unknown or
@@ -59,16 +59,17 @@ def grid(first: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarra
     return np.where(real, at, 0), real
 
 
-def forward_backward(e: np.ndarray, real: np.ndarray, trans: np.ndarray, init: np.ndarray):
+def forward_backward(e: np.ndarray, real: np.ndarray, trans: np.ndarray, init: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None):
     """Marginals of state 1 (place, sequence), and expected starts and transitions.
 
-    ``e``: by how much a token's score of state 1 exceeds that of state 0.
+    ``e``: by how much a token's score of state 1 exceeds that of state 0; ``enter``, ``leave``: of
+    each sequence the messages (state, sequence) that come from before and after it, if it is part of a longer one.
     """
     length, n = e.shape
     up = np.exp(np.clip(e, -30, 30))
     t = np.exp(trans)
     alpha = np.zeros((length, 2, n))
-    a0, a1 = np.full(n, np.exp(init[0])), np.exp(init[1]) * up[0]
+    a0, a1 = (np.full(n, np.exp(init[0])), np.exp(init[1]) * up[0]) if enter is None else (enter[0], enter[1] * up[0])
     for i in range(length):
         if i:
             b0 = a0 * t[0, 0] + a1 * t[1, 0]
@@ -78,7 +79,7 @@ def forward_backward(e: np.ndarray, real: np.ndarray, trans: np.ndarray, init: n
         a0, a1 = a0 / z, a1 / z
         alpha[i, 0], alpha[i, 1] = a0, a1
     marginal, pair = np.zeros((length, n)), np.zeros((2, 2))
-    b0 = b1 = np.ones(n)
+    b0, b1 = (np.ones(n), np.ones(n)) if leave is None else leave
     for i in range(length - 1, -1, -1):
         p0, p1 = alpha[i, 0] * b0, alpha[i, 1] * b1
         marginal[i] = np.where(real[i], p1 / (p0 + p1), 0)
@@ -94,6 +95,37 @@ def forward_backward(e: np.ndarray, real: np.ndarray, trans: np.ndarray, init: n
     return marginal, start, pair
 
 
+def messages(e: np.ndarray, real: np.ndarray, runs: np.ndarray, trans: np.ndarray, init: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters and leaves each run (state, run), where runs of one text follow each other.
+
+    ``runs``: of each text, their number. A run is passed once from either state, which gives its
+    2 x 2 matrix; matrices of a text are then multiplied from both ends.
+    """
+    length, n = e.shape
+    up, t = np.exp(np.clip(e, -30, 30)), np.exp(trans)
+    whole = np.zeros((2, 2, n))  # (state that enters, state of the last token, run)
+    whole[0, 0], whole[1, 1] = 1.0, up[0]
+    for i in range(1, length):
+        after = np.stack([whole[:, 0] * t[0, 0] + whole[:, 1] * t[1, 0], (whole[:, 0] * t[0, 1] + whole[:, 1] * t[1, 1]) * up[i]], axis=1)
+        after /= after.sum(axis=(0, 1))
+        whole = np.where(real[i], after, whole)
+    head = np.cumsum(runs) - runs
+    enter, leave = np.zeros((2, n)), np.ones((2, n))
+    enter[:, head[runs > 0]] = np.exp(init)[:, None]
+    order = np.argsort(-runs, kind="stable")
+    longest = int(runs.max()) if len(runs) else 0
+    more = [order[: np.searchsorted(-runs[order], -j, "left")] for j in range(longest)]  # texts with over j runs
+    for j in range(1, longest):
+        r = head[more[j]] + j
+        v = t.T @ (enter[:, None, r - 1] * whole[:, :, r - 1]).sum(axis=0)
+        enter[:, r] = v / v.sum(axis=0)
+    for j in range(longest - 1, 0, -1):
+        r = head[more[j]] + j
+        v = t @ (whole[:, :, r] * leave[None, :, r]).sum(axis=1)
+        leave[:, r - 1] = v / v.sum(axis=0)
+    return enter, leave
+
+
 def _token_labels(feats: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """1 for tokens of toxic texts of which some key is far commoner in toxic texts."""
     n_bad, n_good = toxic.sum(), (~toxic).sum()
@@ -107,8 +139,11 @@ def _token_labels(feats: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np
     return out & toxic[owner]
 
 
-def train(texts: list[str], toxic: np.ndarray, epochs: int = 6, seed: int = 1) -> dict:
-    """The field's weights and the document model, as plain arrays."""
+def train(texts: list[str], toxic: np.ndarray, epochs: int = 6, seed: int = 1, most_runs: int = MOST_RUNS) -> dict:
+    """The field's weights and the document model, as plain arrays.
+
+    The weights are fitted on runs of up to LENGTH tokens, ``most_runs`` with toxic ones and as many without, drawn at random.
+    """
     toxic = np.asarray(toxic, bool)
     prior = (toxic.sum() + 0.5) / (len(toxic) + 1)
     model = {"prior": float(prior)}
@@ -142,7 +177,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 6, seed: int = 1) -
     use = real[0] & ~later[of] if at.size else np.zeros(0, bool)
     bad = (label[at] & real).any(axis=0)
     spare = np.flatnonzero(use & ~bad & ~toxic[of])
-    chosen = np.concatenate([np.flatnonzero(use & bad)[:MOST_RUNS], rng.permutation(spare)[:MOST_RUNS]])
+    chosen = np.concatenate([rng.permutation(np.flatnonzero(use & bad))[:most_runs], rng.permutation(spare)[:most_runs]])
     size = len(HEADS) + 2 << BITS
     weights, trans, init = np.zeros(size), np.zeros((2, 2)), np.array([0.0, -3.0])
     square, rate = np.full(size, 1e-8), 0.3
@@ -177,9 +212,11 @@ def marginals(w: T.Words, model: dict) -> np.ndarray:
         return out
     e = np.concatenate([model["weights"][features(w, at, at + (1 << 18))].sum(axis=1, dtype=np.float64) for at in range(0, w.n, 1 << 18)])
     at, real = grid(w.first)
+    enter, leave = messages(e[at], real, -(-np.diff(w.first) // len(at)), model["trans"], model["init"])
     for s in range(0, at.shape[1], 4096):
-        a, r = at[:, s : s + 4096], real[:, s : s + 4096]
-        m, _, _ = forward_backward(e[a], r, model["trans"], model["init"])
+        own = slice(s, s + 4096)
+        a, r = at[:, own], real[:, own]
+        m, _, _ = forward_backward(e[a], r, model["trans"], model["init"], enter[:, own], leave[:, own])
         out[a[r]] = m[r]
     return out
 
@@ -225,8 +262,9 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds) -> dict:
     """Train in one task on the bounded sample; the model, a few MB, comes to the driver."""
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.lexsort((np.array(table["text"].to_pylist(), object).astype(str), np.array(table["doc_id"].to_pylist())))
-        table = table.take(pa.array(order))
+        ids, texts = table["doc_id"].to_pylist(), table["text"].to_pylist()
+        table = table.take(pa.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))))
+        del ids, texts
         model = train(table["text"].to_pylist(), table["toxic"].to_numpy() == 1)
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 

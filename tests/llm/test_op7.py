@@ -28,6 +28,21 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(m, want_m) and np.allclose(start, want_start) and np.allclose(pair, want_pair)
 
 
+def test_marginals_of_a_whole_chain(monkeypatch):
+    """Texts of several runs: the same marginals as with runs longer than any text."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(list("abcdefgh"), n)) for n in (0, 1, 3, 4, 5, 37, 9, 0, 64, 100)]
+    w = op7.T.Words(op7.pa.array(texts), op7.T.ALNUM, True)
+    size = len(op7.HEADS) + 2 << op7.BITS
+    model = {"weights": rng.normal(size=size).astype(np.float32), "trans": 2 * rng.normal(size=(2, 2)), "init": rng.normal(size=2)}
+    whole = op7.grid(w.first, 128)
+    short = op7.grid(w.first, 4)
+    monkeypatch.setattr(op7, "grid", lambda first: whole)
+    want = op7.marginals(w, model)
+    monkeypatch.setattr(op7, "grid", lambda first: short)
+    assert np.allclose(op7.marginals(w, model), want)
+
+
 def corpus(n=900):
     rnd = random.Random(7)
     vocab = [a + b + c for a in ("th", "on", "er", "an", "re") for b in ("the", "ing", "ea", "st") for c in ("", "ly", "ed", "es")]
