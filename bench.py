@@ -27,7 +27,8 @@ def main() -> None:
             best = min(best, time.time() - began)
         took[name] = round(best, 3)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    extra = {"index_docs_per_s": round(docs / (took["chunk_text_windows"] + took["tokenize_tf"])), "knn_queries_per_s": round(20 / took["knn_batch"], 1)}
+    due = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 50 = 0").count()
+    extra = {"index_docs_per_s": round(docs / (took["chunk_text_windows"] + took["tokenize_tf"])), "knn_queries_per_s": round(due / took["knn_batch"], 1)}
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1], **extra}))
     spark.stop()
 

@@ -73,12 +73,17 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     return finish(own.drop("body", "section"))
 
 
-def heading_edges(files: DataFrame, deepest: int = 16) -> DataFrame:
-    """(file_id, pos, title, parent_pos): the nearest heading before of smaller depth; null: the document."""
+def heading_edges(files: DataFrame) -> DataFrame:
+    """(file_id, pos, depth, title, parent_pos): the nearest heading before of smaller depth; null: the document.
+
+    One running value for each depth that occurs in the table (one small action finds them), so any depth is right.
+    """
+    rows = markdown_headings(files)
+    depths = sorted(r[0] for r in rows.select("depth").distinct().collect())
     order = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = markdown_headings(files).withColumn("level", F.least("depth", F.lit(deepest)))
-    of = F.array(*[F.last(F.when(F.col("level") < k, F.col("pos")), ignorenulls=True).over(order) for k in range(1, deepest + 1)])
-    return rows.withColumn("parent_pos", F.get(of, F.col("level") - 1)).drop("level")
+    of = F.array(*[F.last(F.when(F.col("depth") < d, F.col("pos")), ignorenulls=True).over(order) for d in depths] or [F.lit(None).cast("int")])
+    at = F.array_position(F.array(*[F.lit(d) for d in depths] or [F.lit(0)]), F.col("depth")).cast("int")
+    return rows.withColumn("parent_pos", F.get(of, at - 1))
 
 
 def json_lines(files: DataFrame) -> DataFrame:

@@ -46,7 +46,26 @@ def catalog(scanned: DataFrame) -> DataFrame:
     rows = scanned.select(F.sha2(path, 256).alias("file_id"), path.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
     rows = rows.withColumn("filename", C.filename(F.col("path"))).withColumn("extension", C.extension(F.col("path"))).withColumn("mime_type", C.mime_type(F.col("extension")))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    return rows.withColumn("content_hash", F.sha2("content", 256)).withColumn("text", text)
+    rows = rows.withColumn("content_hash", F.sha2("content", 256)).withColumn("text", text)
+    # spreadsheets, word-processor files and PDF are read as bytes; all else must be text
+    failed = F.col("content").isNotNull() & F.col("text").isNull() & ~F.coalesce(F.col("extension").isin("xlsx", "docx", "pdf"), F.lit(False))
+    status = F.struct(F.when(failed, "Failed").otherwise("Indexed").alias("kind"), F.when(failed, "not UTF-8").alias("reason"))
+    return rows.withColumn("status", status)
+
+
+def file_events(changes: DataFrame, at: Column) -> DataFrame:
+    """(event_id, file_id, event_type, ts, source): what a scan's changes (path, change) tell, for ``catalog.record_event``."""
+    kind = F.when(F.col("change") == "new", "created").otherwise(F.col("change"))
+    rows = changes.filter("change <> 'unchanged'").select(F.sha2("path", 256).alias("file_id"), kind.alias("event_type"), at.alias("ts"))
+    return rows.select(F.sha2(F.concat_ws("#", "file_id", "event_type", F.unix_micros("ts").cast("string")), 256).alias("event_id"), "*", F.lit("scan").alias("source"))
+
+
+def snapshot_changes(spark: SparkSession, root: str, known: DataFrame, custom: tuple[str, ...] = ()) -> DataFrame:
+    """A watch step: the changes (path, change), deletes too, between a folder now and the catalog (path, content_hash) known.
+
+    The file source of a stream never tells of deleted files; this is to be called by a trigger.
+    """
+    return T.changes(known.select("path", "content_hash"), catalog(scan(spark, root, custom)).select("path", "content_hash")).filter("change <> 'unchanged'")
 
 
 def _pieces(reader: Callable[[bytes], Iterator[dict]]) -> Callable[[DataFrame], DataFrame]:

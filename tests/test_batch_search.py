@@ -6,7 +6,7 @@ def test_blocks_and_due_ids(spark, tmp_path):
     rows = [(i, [float(i % 7 + 1), float(i % 11), float(i % 13)]) for i in range(301)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     d.write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = Q.knn_batch_due(spark, str(tmp_path)).collect()
+    got = Q.knn_batch(spark, str(tmp_path)).collect()
     assert {r.query_id for r in got} == set(range(0, 301, 50)) and len(got) == 7 * 5
     v = d.selectExpr("vec_id id", "embedding vector")
     q = v.selectExpr("id query_id", "vector query_vector").filter("query_id < 10")
