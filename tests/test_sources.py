@@ -60,13 +60,6 @@ def test_index(spark, tmp_path):
     assert got == {"a.txt": 1, "b.md": 1, "c.xlsx": 1, "d.docx": 1, "e.pdf": 1, "f.json": 1, "g.jsonl": 2}
     assert {r.filename: r.status.reason for r in files.filter("status.kind = 'Failed'").collect()} == {"h.txt": "not UTF-8"}
     assert S.scan(spark, str(tmp_path / "missing")).count() == 0
-    known = spark.createDataFrame([(r.path, r.content_hash) for r in files.select("path", "content_hash").collect()], "path string, content_hash string")
-    (tmp_path / "a.txt").unlink()
-    (tmp_path / "i.txt").write_text("new")
-    now = S.snapshot_changes(spark, str(tmp_path), known)
-    assert sorted((r.path[-5:], r.change) for r in now.collect()) == [("a.txt", "deleted"), ("i.txt", "new")]
-    events = S.file_events(now, F.lit("2024-01-01").cast("timestamp")).collect()
-    assert sorted(r.event_type for r in events) == ["created", "deleted"] and len({r.event_id for r in events}) == 2
     assert S.share(files, 30).count() == 3
     was = spark.createDataFrame(files.select("file_id", "path", "content_hash").collect())
     held = spark.createDataFrame(chunks.collect(), chunks.schema)
@@ -98,3 +91,16 @@ def test_change_stream(spark, tmp_path):
 def test_hashed(spark):
     got = {r.i: r.vector for r in embed.hashed(spark.createDataFrame([(1, "one two two"), (2, ""), (3, None)], "i int, content string"), 16).collect()}
     assert abs(sum(x * x for x in got[1]) - 1) < 1e-6 and not any(got[2]) and not any(got[3])
+
+
+def test_snapshot_changes_and_events(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a")
+    (tmp_path / "b.txt").write_text("b")
+    files = S.catalog(S.scan(spark, str(tmp_path)))
+    known = spark.createDataFrame([(r.path, r.content_hash) for r in files.select("path", "content_hash").collect()], "path string, content_hash string")
+    (tmp_path / "a.txt").unlink()
+    (tmp_path / "i.txt").write_text("new")
+    now = S.snapshot_changes(spark, str(tmp_path), known)
+    assert sorted((r.path[-5:], r.change) for r in now.collect()) == [("a.txt", "deleted"), ("i.txt", "new")]
+    events = S.file_events(now, F.lit("2024-01-01").cast("timestamp")).collect()
+    assert sorted(r.event_type for r in events) == ["created", "deleted"] and len({r.event_id for r in events}) == 2
