@@ -89,7 +89,11 @@ def variants(fps: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b) that connect all at distance 2 or less."""
+    """Distinct fingerprints (fp) -> links (a, b) that connect all at distance 2 or less.
+
+    Joins of exploded rows are merge joins by hint: Spark's estimate doesn't know how many rows an
+    explode makes, and would broadcast all variants while the fingerprints are few enough.
+    """
     key = ["seg", "bit", "part"]
     held = variants(fps)
     crowd = scratch(held.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select(*key), "crowd")
@@ -100,7 +104,7 @@ def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
     part = F.when(F.col("seg") == 0, gap.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))).otherwise(F.shiftrightunsigned(gap, SEGMENT_BITS))
     # a pair is told once for a segment: at the bit that differs, at bit 0 if none does
     once = F.when(part == 0, F.col("bit") == 0).otherwise(part == F.expr("shiftleft(1L, bit)"))
-    near = left.join(right, key).filter((F.col("a") < F.col("b")) & (F.bit_count(gap) <= 2) & once)
+    near = left.hint("merge").join(right, key).filter((F.col("a") < F.col("b")) & (F.bit_count(gap) <= 2) & once)
     out = near.select("a", "b")
     if has_crowd:
         pairs = [_signed(((1 << 64) - 1) ^ (1 << i) ^ (1 << j)) for i in range(64) for j in range(i)]
@@ -108,7 +112,7 @@ def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
         wild = members.select("fp", F.posexplode(F.expr(f"array({','.join(f'{m}L' if m != -(1 << 63) else 'bigint(-9223372036854775808)' for m in pairs)})")).alias("which", "mask"))
         wild = wild.select("fp", "which", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
         low = wild.groupBy("which", "rest").agg(F.min("fp").alias("low"), F.count("*").alias("n")).filter("n > 1")
-        out = out.unionByName(wild.join(low.drop("n"), ["which", "rest"]).filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct())
+        out = out.unionByName(wild.hint("merge").join(low.drop("n"), ["which", "rest"]).filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct())
     return out.distinct()
 
 

@@ -55,6 +55,16 @@ def test_links_match_brute_force(spark, heavy):
     assert all(len(v) == 1 for v in groups.values()) and len(groups) == len({find(f) for f in signed})
 
 
+def test_variants_are_not_broadcast(spark, tmp_path):
+    """An estimate from the file of fingerprints is 64 times too small for their variants."""
+    spark.range(3000).selectExpr("xxhash64(id) fp").write.parquet(f"{tmp_path}/fps")
+    fps = spark.read.parquet(f"{tmp_path}/fps")
+    plan = op8.links(fps)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    wild = op8.links(fps.selectExpr("shiftright(fp, 58) fp").distinct(), 3)._jdf.queryExecution().sparkPlan().toString()
+    assert wild.count("SortMergeJoin") == 2
+
+
 def test_documents(spark):
     base = " ".join(f"word{i % 37} x{i}" for i in range(300))
     rows = [(1, "A b C"), (2, None), (3, ""), (4, base), (5, base.upper()), (6, base + " end"), (7, "one"), (8, "one"), (8, "one"), (9, "ä b c d É")]
