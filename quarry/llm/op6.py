@@ -102,7 +102,8 @@ class Index:
 
     def _write_run(self, rows: DataFrame) -> str:
         name = f"run-{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "mark").write.bucketBy(self.buckets, "mark").sortBy("mark").option("path", f"{self.path}/{name}").saveAsTable(f"quarry_{name.replace('-', '_')}")
+        # dealt by bucket, whatever the number of partitions: one file a bucket, not one of each bucket a task
+        rows.repartition(F.pmod(F.hash("mark"), F.lit(self.buckets))).write.bucketBy(self.buckets, "mark").sortBy("mark").option("path", f"{self.path}/{name}").saveAsTable(f"quarry_{name.replace('-', '_')}")
         return name
 
     def _forget(self, name: str) -> None:

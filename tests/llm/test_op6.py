@@ -70,3 +70,13 @@ def test_words_that_polynomial_hashes_confuse(spark):
     tail = " ".join(f"w{i}" for i in range(60))
     got = op6.cut_repeats(spark.createDataFrame([(1, f"{a} {tail}"), (2, f"{b} {tail}")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.n_removed for r in got] == [0, 60] and got[1].kept == b
+
+
+def test_a_run_has_one_file_a_bucket(spark, monkeypatch):
+    """Also where more partitions are dealt than there are buckets."""
+    kind = type(spark.range(0))
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *cols: plain(self, 29, *cols) if isinstance(n, int) else plain(self, 29, n, *cols))
+    index = op6.Index(spark, buckets=8)
+    run = index._run(index._write_run(spark.range(5000).selectExpr("xxhash64(id) mark", "id doc_id")))
+    assert len(run.inputFiles()) == 8 and run.count() == 5000
