@@ -2,10 +2,11 @@
 
 A paragraph is a line that isn't blank. Word unigrams and bigrams of the license notices are the features
 of a multinomial logistic regression with an L1 penalty (sparse weights) over the licence
-families and the class "unknown". It is trained on variants of the notices and on a bounded
-sample of the corpus' own paragraphs (``most_paragraphs``, first by hash) that match no
-notice. The unknown class is calibrated: a family needs a probability above what nearly all
-unknown paragraphs of a second such sample reach. A prediction is confirmed by comparison with
+families and the class "unknown". It is trained on variants of the notices and on half of all
+the corpus' own paragraphs that match no notice (by hash); paragraphs with equal features are one row
+with their number as weight, and weights are scaled so that all together count for
+``unknown_weight`` at most, or the notices would vanish in a large corpus. The unknown class is calibrated: a family
+needs a probability above what nearly all unknown paragraphs of the other half reach. A prediction is confirmed by comparison with
 the family's notices: the paragraph must hold 80 % of the five-word shingles of one of them.
 
 Main path: DataFrame functions and the JVM's own feature and classifier stages.
@@ -25,9 +26,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, lower_ascii
+from quarry.llm.common import documents, drop, lower_ascii, scratch
 
-UNKNOWN, SHINGLE, NEAR, MOST_PARAGRAPHS = "unknown", 5, 0.8, 2000
+UNKNOWN, SHINGLE, NEAR, UNKNOWN_WEIGHT = "unknown", 5, 0.8, 2000.0
 
 #: Common notices of each family.
 NOTICES: dict[str, list[str]] = {
@@ -125,8 +126,11 @@ class Model:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Rows with ``tokens`` -> the same with ``family`` and ``probability``."""
-        keep = rows.columns
-        out = self.classifier.transform(self.counter.transform(rows.withColumn("grams", features(F.col("tokens")))))
+        return self.classify(self.counter.transform(rows.withColumn("grams", features(F.col("tokens")))), rows.columns)
+
+    def classify(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """Rows with ``features`` -> the columns ``keep`` with ``family`` and ``probability``."""
+        out = self.classifier.transform(rows)
         p = vector_to_array("probability")
         known = F.slice(p, 1, len(self.families) - 1)
         out = out.select(*keep, F.array_max(known).alias("top"), known.alias("known"))
@@ -145,14 +149,18 @@ def confirm(rows: DataFrame) -> DataFrame:
     return both.withColumn("likeness", F.coalesce(F.array_max(share), F.lit(0.0))).drop("notices", "held")
 
 
-def _sample(docs: DataFrame, most: int) -> DataFrame:
-    """(tokens, half): the corpus paragraphs first by hash; both halves are of bounded size."""
-    own = docs.withColumn("order", F.xxhash64(F.lit("license"), "doc_id", "text")).filter("text is not null").orderBy("order").limit(max(1, most // 4))
-    rows = paragraphs(own).filter(F.length("paragraph") <= 5000).withColumn("order", F.xxhash64("paragraph", "doc_id", "n")).orderBy("order", "n").limit(2 * most)
-    return rows.select(words(F.col("paragraph")).alias("tokens"), F.pmod("order", F.lit(2)).alias("half"))
+def kinds(docs: DataFrame, counter: CountVectorizerModel) -> DataFrame:
+    """(features, half, times) of all corpus paragraphs that hold no notice; ``half``: 0 or 1 by hash."""
+    rows = paragraphs(docs).select(words(F.col("paragraph")).alias("tokens"), F.pmod(F.xxhash64("paragraph", "doc_id", "n"), F.lit(2)).alias("half"))
+    rows = rows.withColumn("joined", F.array_join("tokens", " "))
+    for own in NOTICES.values():
+        for notice in own:
+            rows = rows.filter(~F.col("joined").contains(" ".join(re.findall(r"[a-z0-9]+", notice.lower()))))
+    vectors = counter.transform(rows.select("half", features(F.col("tokens")).alias("grams")))
+    return vectors.groupBy("features", "half").agg(F.count("*").alias("times"))
 
 
-def train(docs: DataFrame, most_paragraphs: int = MOST_PARAGRAPHS) -> Model:
+def train(docs: DataFrame, unknown_weight: float = UNKNOWN_WEIGHT) -> Model:
     spark = docs.sparkSession
     families = [*NOTICES, UNKNOWN]
     counter = CountVectorizerModel.from_vocabulary(_vocabulary(), "grams", "features")
@@ -163,23 +171,21 @@ def train(docs: DataFrame, most_paragraphs: int = MOST_PARAGRAPHS) -> Model:
     good = texts.select("family", "tokens", gone).select("family", F.filter("tokens", lambda w, i: (F.col("gone") < 0) | (i % 9 != F.col("gone"))).alias("tokens"), F.lit(2.0).alias("weight"))
     rows = ", ".join(f"({_literal(t)})" for t in OTHERS)
     other = spark.sql(f"SELECT * FROM VALUES {rows} AS t(text)").select(F.lit(UNKNOWN).alias("family"), words(F.col("text")).alias("tokens"), F.lit(5.0).alias("weight"))
-    corpus = _sample(docs, most_paragraphs).withColumn("joined", F.array_join("tokens", " "))
-    marks = [" ".join(re.findall(r"[a-z0-9]+", t.lower())) for own in NOTICES.values() for t in own]
-    clean = ~F.lit(False)
-    for m in marks:
-        clean = clean & ~F.col("joined").contains(m)
-    corpus = corpus.filter(clean).select(F.lit(UNKNOWN).alias("family"), "tokens", F.lit(1.0).alias("weight"), "half")
+    corpus = scratch(kinds(docs, counter), "kinds")
+    total = corpus.filter("half = 0").agg(F.sum("times")).first()[0] or 0
+    own = corpus.filter("half = 0").select("features", F.lit(len(families) - 1.0).alias("label"), (F.col("times") * min(1.0, unknown_weight / max(1, total))).alias("weight"))
     number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
-    corpus = corpus.persist()
-    data = good.unionByName(other).unionByName(corpus.filter("half = 0").drop("half"))
+    data = good.unionByName(other)
     # an unknown word or no word at all must stay unknown
     data = data.withColumn("label", number).withColumn("grams", features(F.col("tokens")))
     fit = LogisticRegression(family="multinomial", featuresCol="features", labelCol="label", weightCol="weight", regParam=0.0005, elasticNetParam=0.5, maxIter=60, standardization=False)
-    classifier = fit.fit(counter.transform(data).select("features", "label", "weight"))
+    classifier = fit.fit(counter.transform(data).select("features", "label", "weight").unionByName(own))
     model = Model(counter, classifier, families, 0.0)
-    seen = model.predict(corpus.filter("half = 1").select("tokens")).agg(F.expr("percentile(probability, 0.999)")).first()[0]
-    corpus.unpersist()
-    model.threshold = max(0.5, min(0.9, seen or 0.0))
+    # the threshold lies between 0.5 and 0.9, so what is beyond needs no value of its own
+    bounded = F.greatest(F.lit(0.5), F.least(F.lit(0.9), F.col("probability"))).alias("p")
+    seen = model.classify(corpus.filter("half = 1"), ["times"]).select("times", bounded).agg(F.expr("percentile(p, 0.999, times)")).first()[0]
+    drop(corpus)
+    model.threshold = seen or 0.5
     return model
 
 

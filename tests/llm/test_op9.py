@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from quarry.llm import op9
 
 
@@ -29,3 +31,13 @@ def test_families_found_and_others_left(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op9.query(spark, str(tmp_path)).count() == 0
+
+
+def test_all_paragraphs_train_and_calibrate(spark):
+    from pyspark.ml.feature import CountVectorizerModel
+
+    rows = [(i, f"the license of word{i} was released\n\nunder version {i % 7} of it\nLicensed under CC BY 4.0.") for i in range(3000)] + [(None, "license " * 3000)]
+    counter = CountVectorizerModel.from_vocabulary(op9._vocabulary(), "grams", "features").setBinary(True)
+    found = op9.kinds(spark.createDataFrame(rows, "doc_id long, text string"), counter)
+    assert {h.half: h.n > 2500 for h in found.groupBy("half").agg(F.sum("times").alias("n")).collect()} == {0: True, 1: True}
+    assert found.agg(F.sum("times")).first()[0] == 6001 and found.count() < 50
