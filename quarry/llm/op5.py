@@ -22,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ from quarry.llm.common import documents, scratch, slices
 
 LEAF_CHARS, SPREAD_CHARS, FIRST_WINDOW = 16_384, 1 << 20, 64
 _WORD = re.compile(r"[^ \t-\r]+")
+_PLAIN = re.compile(r"[!-;=-{}~À-ÖØ-öø-ÿ]+").fullmatch
+#: Ids that one step of decoding takes; those of a longer text are taken alone.
+STEP_IDS = 1 << 22
 
 
 def vocabulary_path() -> str:
@@ -38,9 +42,14 @@ def vocabulary_path() -> str:
 
 
 class Coder:
-    """Ids of words, kept for the words met so far; when over ``most`` are held, for those met at that time."""
+    """Ids of words, kept for the words met so far; when over ``most`` are held, for those met at that time.
 
-    def __init__(self, path: str, most: int = 60_000):
+    Plain words are encoded many in one text, with a special token between them, at which the
+    library cuts a text before all else. Words that may hold or make a part of such a token, or
+    whose characters are not all ASCII or Latin letters, are encoded one by one.
+    """
+
+    def __init__(self, path: str, most: int = 200_000, together: int = 256):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,24 +59,40 @@ class Coder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.names = [""] * (max(names.values()) + 1)
+        of = [""] * (max(names.values()) + 1)
         for name, i in names.items():
-            self.names[i] = name
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.most = most
+            of[i] = name
+        self.names = pa.array(of, pa.string())
+        between = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if not (t.normalized or t.single_word or t.lstrip or t.rstrip) and "<" in t.content]
+        self.between = between[-1] if between else None
+        self.known: dict[str, bytes] = {}
+        self.most, self.together = most, together
 
     def learn(self, words) -> None:
-        words = set(words)
+        words = words if isinstance(words, set) else set(words)
         if len(self.known) > self.most:  # those met now stay
             self.known = {w: self.known[w] for w in words if w in self.known}
         new = [w for w in words if w not in self.known]
+        plain = [w for w in new if _PLAIN(w)] if self.between else []
+        if plain:
+            number, mark = self.between
+            groups = [plain[at : at + self.together] for at in range(0, len(plain), self.together)]
+            for own, e in zip(groups, self._encoded([mark.join(g) for g in groups]), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == number) * 4
+                raw = ids.tobytes()
+                for word, a, b in zip(own, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True):
+                    self.known[word] = raw[a:b]
+            new = [w for w in new if not _PLAIN(w)]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.known[word] = (np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids]))
+            for word, e in zip(part, self._encoded(part), strict=True):
+                self.known[word] = np.array(e.ids, "<u4").tobytes()
+
+    def _encoded(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def of(self, word: str) -> tuple[bytes, str]:
+    def of(self, word: str) -> bytes:
         if word not in self.known:
             self.learn([word])
         return self.known[word]
@@ -140,13 +165,16 @@ def coder_for(path: str) -> Coder:
 
 
 def _encoded(coder: Coder, words_of: list[list[str]]) -> list[pa.Array]:
-    ids, decoded = [], []
-    for words in words_of:
-        known = coder.known
-        pairs = [known[w] for w in words]
-        ids.append(b"".join([p[0] for p in pairs]))
-        decoded.append(" ".join([p[1] for p in pairs if p[1]]))
-    return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+    known = coder.known
+    ids = [b"".join([known[w] for w in words]) for words in words_of]
+    ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
+    decoded, at = [], 0
+    while at < len(ids):  # strings of a step stay far below the 2 GB of an array
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP_IDS, "right")) - 1)
+        flat = coder.names.take(pa.array(np.frombuffer(b"".join(ids[at:to]), "<u4")))
+        decoded.append(pc.binary_join(pa.ListArray.from_arrays(pa.array((ends[at : to + 1] - ends[at]).astype(np.int32)), flat), " "))
+        at = to
+    return [pa.array(np.diff(ends)), pa.array(ids, pa.binary()), pa.concat_arrays(decoded) if decoded else pa.array([], pa.string())]
 
 
 def encode(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF_CHARS, spread_chars: int = SPREAD_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:

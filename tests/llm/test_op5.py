@@ -35,3 +35,27 @@ def test_library(spark, library, leaf, spread):
         want.append((i, len(ids), np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False)))
     assert got == sorted(want, key=str)
     assert op5.encode(d.limit(0)).count() == 0
+
+
+def test_plain_words_go_to_the_library_together(library, monkeypatch):
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdeXYZÄß.,'\"019-") for _ in range(rnd.randrange(1, 12))) for _ in range(2000)]
+    words += ["<|endoftext|>", "a<|endoftext|>b", "<|endof", "text|>", "<", "|", "İ.", "é", "日本", "́", "\x85", "x y", "!?...", "don't", "\x1f"]
+    coder, sent = op5.Coder(op5.vocabulary_path(), together=100), []
+    plain = coder._encoded
+    monkeypatch.setattr(coder, "_encoded", lambda texts: sent.extend(texts) or plain(texts))
+    coder.learn(words)
+    assert len(sent) < 50
+    assert all(coder.of(w) == np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words)
+
+
+def test_decoding_in_steps(library, monkeypatch):
+    monkeypatch.setattr(op5, "STEP_IDS", 5)
+    coder = op5.Coder(op5.vocabulary_path())
+    texts = ["", "a b c d e f g", "x", "", "two words", "\u0085", "one"]
+    words = [t.split(" ") if t else [] for t in texts]
+    coder.learn({w for ws in words for w in ws})
+    n, ids, decoded = op5._encoded(coder, words)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.to_pylist() == [len(x) for x in want] and ids.to_pylist() == [np.array(x, "<u4").tobytes() for x in want]
+    assert decoded.to_pylist() == [library.decode(x, skip_special_tokens=False) for x in want]
